@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from tessella.llm.bpe import digests, encode_documents
 from tessella.llm.common import read
 from tessella.llm.ngram_join import ngram_jaccard_join
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe_chunk_reuse(spark, sf_dir):
+    return digests(encode_documents(read(spark, sf_dir, "documents"), WORD_BPE))
+
 
 def op5_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard_join(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join}
+QUERIES = {f.__name__: f for f in (op2_bpe_chunk_reuse, op5_ngram_jaccard_join)}
 ORACLE = {}
