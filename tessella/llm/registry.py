@@ -6,6 +6,7 @@ import public_tokenizers
 
 from tessella.llm.bpe import digests, encode_documents
 from tessella.llm.common import read
+from tessella.llm.langid import language_id
 from tessella.llm.ngram_join import ngram_jaccard_join
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,5 +20,9 @@ def op5_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard_join(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_chunk_reuse, op5_ngram_jaccard_join)}
+def op9_string_kernel_langid(spark, sf_dir):
+    return language_id(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_chunk_reuse, op5_ngram_jaccard_join, op9_string_kernel_langid)}
 ORACLE = {}
