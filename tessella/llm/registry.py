@@ -6,6 +6,7 @@ import public_tokenizers
 
 from tessella.llm.bpe import digests, encode_documents
 from tessella.llm.common import read
+from tessella.llm.decontaminate import contaminated
 from tessella.llm.langid import language_id
 from tessella.llm.ngram_join import ngram_jaccard_join
 
@@ -20,9 +21,13 @@ def op5_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def op7_greedy_tiling_decontamination(spark, sf_dir):
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_string_kernel_langid(spark, sf_dir):
     return language_id(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_chunk_reuse, op5_ngram_jaccard_join, op9_string_kernel_langid)}
+QUERIES = {f.__name__: f for f in (op2_bpe_chunk_reuse, op5_ngram_jaccard_join, op7_greedy_tiling_decontamination, op9_string_kernel_langid)}
 ORACLE = {}
