@@ -9,6 +9,7 @@ from tessella.llm.common import read
 from tessella.llm.decontaminate import contaminated
 from tessella.llm.langid import language_id
 from tessella.llm.ngram_join import ngram_jaccard_join
+from tessella.llm.pii import pii
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -25,9 +26,13 @@ def op7_greedy_tiling_decontamination(spark, sf_dir):
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_weak_supervision_pii(spark, sf_dir):
+    return pii(read(spark, sf_dir, "documents"))
+
+
 def op9_string_kernel_langid(spark, sf_dir):
     return language_id(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_chunk_reuse, op5_ngram_jaccard_join, op7_greedy_tiling_decontamination, op9_string_kernel_langid)}
+QUERIES = {f.__name__: f for f in (op2_bpe_chunk_reuse, op5_ngram_jaccard_join, op7_greedy_tiling_decontamination, op8_weak_supervision_pii, op9_string_kernel_langid)}
 ORACLE = {}
