@@ -211,7 +211,20 @@ def contaminated(df: DataFrame, benchmark: DataFrame, min_tile: int = 5, coverag
     return out
 
 
-def without_contaminated(df: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of df that no item contaminates, with all their columns."""
-    bad = contaminated(df, benchmark, **how).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return df.join(bad, F.col("doc_id") == F.col("_bad_id"), "left_anti")
+def without_contaminated(df: DataFrame, benchmark: DataFrame, min_tile: int = 5, coverage: float = 0.6, text_col: str = "text") -> DataFrame:
+    """The rows of df that no item contaminates, with all their columns; rows are judged where they are, nothing is joined."""
+    arrow_batches(df.sparkSession)
+    schema, lowered = df.schema, "__lowered_text"
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).where("text IS NOT NULL AND text <> ''")
+    for block in _blocks(items):
+
+        def run(batches, block=block):
+            index = Benchmark(block, min_tile, coverage)
+            for b in batches:
+                last = b.num_columns - 1
+                bad = {m[0] for m in index.matches(*flat(b.column(last)))}
+                kept = b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_())) if bad else b
+                yield kept.select(list(range(last)))
+
+        df = df.select("*", F.lower(F.col(text_col).cast("string")).alias(lowered)).mapInArrow(run, schema)
+    return df

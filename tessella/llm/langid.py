@@ -176,6 +176,23 @@ def identify_language(df: DataFrame, model: dict | None, id_col: str = "doc_id",
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), has_letter(text_col).alias("ok")).mapInArrow(run, schema)
 
 
+def reject_unidentified(df: DataFrame, model: dict | None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, whose language is known: text with a letter and score of min_score at least."""
+    arrow_batches(df.sparkSession)
+    with_letter = df.where(has_letter(text_col))
+    if min_score <= 0 or model is None:
+        return with_letter
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        scorer = Scorer(model)
+        for b in batches:
+            share = np.clip((scorer.scores(*flat(b.column(at))) + 1) / 2, 0, 1)
+            yield b.filter(pa.array(share.max(axis=1) >= min_score * share.sum(axis=1)))
+
+    return with_letter.mapInArrow(run, df.schema)
+
+
 def language_id(df: DataFrame, per_language: int = 600, **how) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of df (doc_id, text, lang): trains on rows that aren't held out, predicts all."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))

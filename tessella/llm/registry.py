@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 
 from tessella.llm.bpe import digests, encode_documents
@@ -35,4 +36,5 @@ def op9_string_kernel_langid(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op2_bpe_chunk_reuse, op5_ngram_jaccard_join, op7_greedy_tiling_decontamination, op8_weak_supervision_pii, op9_string_kernel_langid)}
-ORACLE = {}
+QUERIES["pipeline"] = corpus_pipeline.run
+ORACLE = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
