@@ -10,7 +10,9 @@ from tessella.llm.common import read
 from tessella.llm.decontaminate import contaminated
 from tessella.llm.langid import language_id
 from tessella.llm.ngram_join import ngram_jaccard_join
+from tessella.llm import topk
 from tessella.llm.pii import pii
+from tessella.llm.topk import exact_top_k
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -19,6 +21,11 @@ def op2_bpe_chunk_reuse(spark, sf_dir):
     return digests(encode_documents(read(spark, sf_dir, "documents"), WORD_BPE))
 
 
+def op3_no_random_access_top_k(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings")
+    return exact_top_k(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
 def op5_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard_join(read(spark, sf_dir, "documents"))
 
@@ -35,6 +42,7 @@ def op9_string_kernel_langid(spark, sf_dir):
     return language_id(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_chunk_reuse, op5_ngram_jaccard_join, op7_greedy_tiling_decontamination, op8_weak_supervision_pii, op9_string_kernel_langid)}
+QUERIES = {f.__name__: f for f in (op2_bpe_chunk_reuse, op3_no_random_access_top_k, op5_ngram_jaccard_join, op7_greedy_tiling_decontamination, op8_weak_supervision_pii, op9_string_kernel_langid)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+ORACLE["op3_no_random_access_top_k"] = topk.ORACLE
