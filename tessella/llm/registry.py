@@ -13,7 +13,9 @@ from tessella.llm.ngram_join import ngram_jaccard_join
 from tessella.llm import topk
 from tessella.llm.pii import pii
 from tessella.llm.topk import exact_top_k
+from tessella.llm.training_order import sequences_in_training_order
 
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -42,7 +44,11 @@ def op9_string_kernel_langid(spark, sf_dir):
     return language_id(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_chunk_reuse, op3_no_random_access_top_k, op5_ngram_jaccard_join, op7_greedy_tiling_decontamination, op8_weak_supervision_pii, op9_string_kernel_langid)}
+def op10_feistel_training_order(spark, sf_dir):
+    return sequences_in_training_order(read(spark, sf_dir, "documents"), BYTE_RANKS)
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_chunk_reuse, op3_no_random_access_top_k, op5_ngram_jaccard_join, op7_greedy_tiling_decontamination, op8_weak_supervision_pii, op9_string_kernel_langid, op10_feistel_training_order)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
 ORACLE["op3_no_random_access_top_k"] = topk.ORACLE
