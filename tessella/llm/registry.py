@@ -10,6 +10,7 @@ from tessella.llm.bpe import digests, encode_documents
 from tessella.llm.common import read
 from tessella.llm.decontaminate import contaminated
 from tessella.llm.langid import language_id
+from tessella.llm.licences import licence_scan
 from tessella.llm.ngram_join import ngram_jaccard_join
 from tessella.llm import topk
 from tessella.llm.pii import pii
@@ -22,6 +23,13 @@ BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_licence_scan(spark, sf_dir):
+    """The documents as files of a tree source/lang/doc_id."""
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licence_scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
+
+
 def op2_bpe_chunk_reuse(spark, sf_dir):
     return digests(encode_documents(read(spark, sf_dir, "documents"), WORD_BPE))
 
@@ -68,7 +76,7 @@ def op10_feistel_training_order(spark, sf_dir):
     return sequences_in_training_order(read(spark, sf_dir, "documents"), BYTE_RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_chunk_reuse, op3_no_random_access_top_k, op5_ngram_jaccard_join, op6_delta_token_counts, op7_greedy_tiling_decontamination, op8_weak_supervision_pii, op9_string_kernel_langid, op10_feistel_training_order)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_bpe_chunk_reuse, op3_no_random_access_top_k, op5_ngram_jaccard_join, op6_delta_token_counts, op7_greedy_tiling_decontamination, op8_weak_supervision_pii, op9_string_kernel_langid, op10_feistel_training_order)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
 ORACLE["op3_no_random_access_top_k"] = topk.ORACLE
