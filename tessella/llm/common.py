@@ -7,10 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that go to Python at once: texts are long, so far below Spark's default.
 BATCH_ROWS = 512
+#: Bits of a filter of ids: 2 MB, whatever the corpus holds. What wrongly passes costs work only.
+FILTER_BITS = 1 << 24
 #: Bytes of text that are hashed at once.
 WINDOW = 1 << 20
 
@@ -38,6 +41,28 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def filter_place(col: str) -> list[Column]:
+    """Columns b and p: the bitmap bucket and position of a hashed id."""
+    h = F.pmod(F.xxhash64(F.col(col)), F.lit(FILTER_BITS))
+    return [F.call_function("bitmap_bucket_number", h).alias("b"), F.call_function("bitmap_bit_position", h).alias("p")]
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit for each hashed id of the column id; its size is fixed."""
+    rows = ids.select(*filter_place("id")).groupBy("b").agg(F.expr("bitmap_construct_agg(p)").alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
+    for r in rows:
+        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[r["b"] * 4096 : r["b"] * 4096 + len(bits)] |= bits
+    return out
+
+
+def passes(bits: np.ndarray, bucket: pa.Array, position: pa.Array) -> np.ndarray:
+    """Which rows of filter_place columns may be among the ids."""
+    where, pos = bucket.to_numpy(), position.to_numpy()
+    return (bits[where * 4096 + pos // 8] >> (pos % 8).astype(np.uint8)) & 1 > 0
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits whose output bits all depend on all input bits (splitmix64's finaliser)."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

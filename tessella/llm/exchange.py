@@ -23,8 +23,8 @@ def unpacked(blob) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_all()
 
 
-def send(batches: Iterator[tuple[np.ndarray, pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """(bucket of each row, rows) → record batches of (bucket, blob)."""
+def send(batches: Iterator[tuple[np.ndarray, pa.RecordBatch]], kind: int = 0) -> Iterator[pa.RecordBatch]:
+    """(bucket of each row, rows) -> record batches of (bucket, kind, blob)."""
     held: dict[int, list] = {}
     size = 0
 
@@ -32,13 +32,14 @@ def send(batches: Iterator[tuple[np.ndarray, pa.RecordBatch]]) -> Iterator[pa.Re
         for bucket in sorted(held):
             t = pa.Table.from_batches(held[bucket]).combine_chunks()
             for b in t.to_batches():
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed(b)], pa.binary())], names=["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([packed(b)], pa.binary())], names=["bucket", "kind", "blob"])
         held.clear()
 
     for buckets, b in batches:
         if not b.num_rows:
             continue
-        order = np.argsort(buckets, kind="stable")
+        buckets = np.asarray(buckets)
+        order = np.argsort(buckets.astype(np.uint16) if buckets.max() < 65536 else buckets, kind="stable")
         b = b.take(pa.array(order))
         values, begin = np.unique(buckets[order], return_index=True)
         for v, i, j in zip(values.tolist(), begin.tolist(), [*begin[1:].tolist(), b.num_rows]):
@@ -50,19 +51,27 @@ def send(batches: Iterator[tuple[np.ndarray, pa.RecordBatch]]) -> Iterator[pa.Re
     yield from flush()
 
 
-def receive(sent: DataFrame, each: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str, partitions: int) -> DataFrame:
-    """Calls each(bucket, all its rows) in the task that has the bucket; a bucket is one task's memory."""
+#: Columns of what send() gives.
+SENT = "bucket int, kind int, blob binary"
+
+
+def receive(sent: DataFrame, each: Callable[[int, dict[int, pa.Table]], Iterator[pa.RecordBatch]], schema: str, partitions: int) -> DataFrame:
+    """Calls each(bucket, {kind: all its rows}) in the task that has the bucket; a bucket is one task's memory."""
 
     def run(batches):
-        now, blobs = None, []
+        now, blobs = None, {}
+
+        def joined():
+            return {k: pa.concat_tables(v).combine_chunks() for k, v in blobs.items()}
+
         for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1)):
+            for bucket, kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if bucket != now:
                     if blobs:
-                        yield from each(now, pa.concat_tables(blobs).combine_chunks())
-                    now, blobs = bucket, []
-                blobs.append(unpacked(blob.as_buffer()))
+                        yield from each(now, joined())
+                    now, blobs = bucket, {}
+                blobs.setdefault(kind, []).append(unpacked(blob.as_buffer()))
         if blobs:
-            yield from each(now, pa.concat_tables(blobs).combine_chunks())
+            yield from each(now, joined())
 
-    return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return sent.select("bucket", "kind", "blob").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)

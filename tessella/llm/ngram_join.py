@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_batches, flat, mix, shingles, words
+from tessella.llm.common import arrow_batches, filter_place, flat, id_filter, mix, passes, shingles, words
 from tessella.operators.graph import connected_components
 from tessella.storage import staged
 
@@ -29,8 +29,6 @@ from tessella.storage import staged
 COMMON_LIMIT = 100_000
 #: Times that a shingle occurs among the texts of one flush before it is reported as maybe common, and in all.
 COMMON_LOCAL, COMMON_TOTAL = 3, 24
-#: Bits of the filter of documents that are in candidate pairs: 2 MB, whatever the corpus holds.
-FILTER_BITS = 1 << 24
 _FLUSH = 4_000_000
 
 
@@ -95,27 +93,12 @@ def _rows_of(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataF
     return docs.mapInArrow(rows, "doc_id long, n long, x long, y long, prefix array<long>")
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit for each hashed id; its size is fixed."""
-    h = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    rows = (
-        ids.select(h.alias("h")).select(F.expr("bitmap_bucket_number(h)").alias("b"), F.expr("bitmap_bit_position(h)").alias("p"))
-        .groupBy("b").agg(F.expr("bitmap_construct_agg(p)").alias("bits")).collect()
-    )
-    out = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
-    for r in rows:  # bucket 1 holds positions 1 to 32768, bucket 0 position 0
-        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[r["b"] * 4096 : r["b"] * 4096 + len(bits)] |= bits
-    return out
-
-
 def _sets(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
     """Sorted shingles of the documents that the filter lets pass, as little-endian bytes."""
 
     def sets(batches):
         for b in batches:
-            where, pos = b.column(2).to_numpy(), b.column(3).to_numpy()
-            keep = (bits[where * 4096 + pos // 8] >> (pos % 8).astype(np.uint8)) & 1 > 0
+            keep = passes(bits, b.column(2), b.column(3))
             if not keep.any():
                 continue
             b = b.filter(pa.array(keep))
@@ -124,17 +107,12 @@ def _sets(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
             for i in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 64), pa.array(out[i : i + 64], pa.binary())], names=["id", "items"])
 
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    return (
-        docs.select("doc_id", "text", h.alias("h"))
-        .select("doc_id", "text", F.expr("bitmap_bucket_number(h)").alias("b"), F.expr("bitmap_bit_position(h)").alias("p"))
-        .mapInArrow(sets, "id long, items binary")
-    )
+    return docs.select("doc_id", "text", *filter_place("doc_id")).mapInArrow(sets, "id long, items binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    bits = _filter_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    bits = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = _sets(docs, k, bits)
     both = (
         pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")

@@ -12,7 +12,7 @@ from tessella.llm.decontaminate import contaminated
 from tessella.llm.langid import language_id
 from tessella.llm.licences import licence_scan
 from tessella.llm.ngram_join import ngram_jaccard_join
-from tessella.llm import topk
+from tessella.llm import suffix_dedup, topk
 from tessella.llm.pii import pii
 from tessella.llm.token_counts import Ledger, count_tokens
 from tessella.llm.topk import exact_top_k
@@ -39,6 +39,10 @@ def op3_no_random_access_top_k(spark, sf_dir):
     return exact_top_k(rows, rows.where("vec_id % 100 = 0"), 10)
 
 
+def op4_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.digest(suffix_dedup.repeated_spans(read(spark, sf_dir, "documents")))
+
+
 def op5_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard_join(read(spark, sf_dir, "documents"))
 
@@ -76,7 +80,7 @@ def op10_feistel_training_order(spark, sf_dir):
     return sequences_in_training_order(read(spark, sf_dir, "documents"), BYTE_RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_bpe_chunk_reuse, op3_no_random_access_top_k, op5_ngram_jaccard_join, op6_delta_token_counts, op7_greedy_tiling_decontamination, op8_weak_supervision_pii, op9_string_kernel_langid, op10_feistel_training_order)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_bpe_chunk_reuse, op3_no_random_access_top_k, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_delta_token_counts, op7_greedy_tiling_decontamination, op8_weak_supervision_pii, op9_string_kernel_langid, op10_feistel_training_order)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
 ORACLE["op3_no_random_access_top_k"] = topk.ORACLE

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import arrow_batches
-from tessella.llm.exchange import receive, send
+from tessella.llm.exchange import SENT, receive, send
 from tessella.storage import scratch
 
 ROUNDS = 6
@@ -85,7 +85,8 @@ def sequences_in_training_order(
             x = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             yield np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, x.astype(np.float64), "left")), b
 
-    def cut(bucket, table):
+    def cut(bucket, tables):
+        table = tables[0]
         encoding = _tiktoken(ranks_path)
         ids, texts = table.column(0).to_pylist(), table.column(1).to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or "", texts[i] is not None))
@@ -115,7 +116,7 @@ def sequences_in_training_order(
 
     path = scratch(spark, "sequences")
     staged_schema = "bucket int, begin long, n long, doc_ids array<long>, seq_nos array<long>, n_tokens array<int>, tokens binary"
-    receive(docs.mapInArrow(lambda it: send(by_id(it)), "bucket int, blob binary"), cut, staged_schema, parts).write.option("compression", "zstd").parquet(path)
+    receive(docs.mapInArrow(lambda it: send(by_id(it)), SENT), cut, staged_schema, parts).write.option("compression", "zstd").parquet(path)
     cuts_ = spark.read.schema(staged_schema).parquet(path)
     sums = {r.bucket: r.n for r in cuts_.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # one row per partition
     first, total = {}, 0
@@ -139,8 +140,8 @@ def sequences_in_training_order(
                 )
                 yield slots // per_group, rows
 
-    def in_order(group, table):
-        t = table.sort_by("slot")
+    def in_order(group, tables):
+        t = tables[0].sort_by("slot")
         for b in t.to_batches(max_chunksize=1024):
             slot = b.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays(
@@ -150,7 +151,7 @@ def sequences_in_training_order(
 
     small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(int(small), 64))
-    return receive(cuts_.mapInArrow(lambda it: send(to_slots(it)), "bucket int, blob binary"), in_order,
+    return receive(cuts_.mapInArrow(lambda it: send(to_slots(it)), SENT), in_order,
                    "slot long, shard long, byte_offset long, doc_id long, seq_no long, n_tokens int, tokens binary", parts)
 
 
