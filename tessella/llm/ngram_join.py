@@ -8,10 +8,10 @@ The document by n-gram incidence matrix A is multiplied with its transpose only
    order puts shingles that are known to be common last, then goes by hash. Which shingles count as common
    changes the work only, never the result.
 3. Column blocks of the product are postings of one shingle. Their partial overlaps are accumulated by pair, and
-   pairs whose sizes are too different are discarded. To keep copies of one text from giving all their pairs, a
-   posting first gives products with its smallest row only; rows that are linked by these become one label, and
-   then all products between different labels of a posting follow.
-4. Row blocks of the candidates left are multiplied whole: overlaps of full sets, compared with the threshold in integers.
+   pairs whose sizes are too different, or whose overlap is too small for what can lie beyond the prefixes, are discarded. To keep copies of one text from giving all their pairs, a
+   posting first gives products with its smallest row only; what these link becomes one label.
+4. Rows of different labels that still meet in a posting are dealt to row blocks. Of two blocks that meet the full product is
+   taken in one task, overlaps are compared with the threshold in integers, and only links leave the task.
 """
 
 from __future__ import annotations
@@ -25,11 +25,15 @@ from tessella.llm.common import arrow_batches, filter_place, flat, id_filter, mi
 from tessella.operators.graph import connected_components
 from tessella.storage import staged
 
-#: Shingles counted as common at most; bounds what is broadcast. More of them are simply not moved to the end.
-COMMON_LIMIT = 100_000
+#: Shingles counted as common at most (4 MB); bounds what is broadcast. More of them are simply not moved to the end.
+COMMON_LIMIT = 500_000
 #: Times that a shingle occurs among the texts of one flush before it is reported as maybe common, and in all.
-COMMON_LOCAL, COMMON_TOTAL = 3, 24
+COMMON_LOCAL, COMMON_TOTAL = 2, 8
+#: Only hashes below this can be common: prefixes take about the lowest fifth, and what moves up after common ones.
+COMMON_BELOW = np.uint64(int(0.35 * 2**64))
 _FLUSH = 4_000_000
+#: Shingles in a block of rows: 8 MB.
+BLOCK_ITEMS = 1_000_000
 
 
 def _batch_sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +56,9 @@ def _common(docs: DataFrame, k: int) -> np.ndarray:
         for b in batches:
             s, at = _batch_sets(b, k)
             for i in range(len(at) - 1):
-                held.append(np.unique(s[at[i] : at[i + 1]]))
-            size += len(s)
+                u = s[at[i] : at[i + 1]]
+                held.append(np.unique(u[u < COMMON_BELOW]))
+                size += len(held[-1])
             if size > _FLUSH:
                 yield from flush()
                 held, size = [], 0
@@ -132,6 +137,108 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", "x", "y").mapInArrow(product, "a long, b long")
 
 
+def _overlaps(items: np.ndarray, at: np.ndarray, rows: np.ndarray):
+    """(row, its overlaps with all rows) of a cell: a sparse product by the postings of the cell's columns.
+
+    items: the columns of one row after the other, at: where each row's begin."""
+    n = len(at) - 1
+    owner = np.repeat(np.arange(n), np.diff(at))
+    order = np.argsort(items, kind="stable")
+    _, column, count = np.unique(items[order], return_inverse=True, return_counts=True)
+    begin = np.concatenate([[0], np.cumsum(count)])
+    posting = owner[order]
+    of = np.empty(len(items), np.int64)
+    of[order] = column
+    for i in rows:
+        cols = of[at[i] : at[i + 1]]
+        cols = cols[count[cols] > 1]
+        c = count[cols]
+        if len(c):
+            place = np.repeat(begin[cols] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
+            yield i, np.bincount(posting[place], minlength=n)
+
+
+def _not_of_largest(label: np.ndarray) -> np.ndarray:
+    """Rows whose label isn't the most frequent: each pair of different labels holds one."""
+    values, root, size = np.unique(label, return_inverse=True, return_counts=True)
+    return np.flatnonzero(root != int(size.argmax()))
+
+
+def _by_cell(batches, columns: int):
+    """The rows of each cell, as a list of rows; cells come one after the other."""
+    now, held = None, []
+    for b in batches:
+        for x, y, *row in zip(*(b.column(j).to_pylist() for j in range(columns))):
+            if (x, y) != now and held:
+                yield now, held
+                held = []
+            now = (x, y)
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def _block_products(postings: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between rows of postings (s, id, n, hub, c) with different labels c: enough of them to join all labels that
+    any such links join.
+
+    Rows are dealt to blocks: by the hub with which they share the most postings, and within a hub so that a block holds about
+    BLOCK_ITEMS shingles. A cell is two blocks that meet in a posting under different labels. The product over prefixes
+    tells which rows of a cell can have a partner there; only their full sets go to the cell, once each, and are multiplied.
+    Pairs exist within a cell's task only."""
+    best = postings.groupBy("id", "n", "hub").agg(F.count("*").alias("m")).groupBy("id", "n").agg(F.max(F.struct("m", (-F.col("hub")).alias("minus"))).alias("x"))
+    best = best.select("id", "n", (-F.col("x.minus")).alias("hub"))
+    deal = best.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).alias("parts"))
+    blocks = best.join(deal, "hub").select("id", F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+    rows = staged(postings.select("s", "id", "n", "c").join(blocks, "id"), "blocks")
+    met = rows.groupBy("s", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    cells = (
+        met.alias("l").join(met.alias("r"), "s").where("l.block <= r.block AND (l.low < l.high OR r.low < r.high OR l.low <> r.low)")
+        .where("l.block < r.block OR l.low < l.high").select("s", F.col("l.block").alias("x"), F.col("r.block").alias("y"))
+    )
+    sides = cells.select("s", "x", "y", F.col("x").alias("block")).unionByName(cells.where("x <> y").select("s", "x", "y", F.col("y").alias("block")))
+    there = rows.join(sides, ["s", "block"]).select("x", "y", "id", "s", "n", "c", "block")
+
+    def candidates(batches):
+        for (x, y), held in _by_cell(batches, 7):
+            ids, s, n, c, block = (np.array(v, np.int64) for v in zip(*held))
+            order = np.argsort(ids, kind="stable")
+            at = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
+            ids, n, c, block = ids[order][at], n[order][at], c[order][at], block[order][at]
+            alive = np.zeros(len(ids), bool)
+            for i, overlap in _overlaps(s[order], np.r_[at, len(order)], _not_of_largest(c)):
+                most = np.maximum(n, n[i])
+                able = overlap + -(-percent * most // 100) - 1 >= -(-percent * (n + n[i]) // (100 + percent))
+                able &= (100 * np.minimum(n, n[i]) >= percent * most) & (c != c[i]) & (overlap > 0)
+                if x != y:
+                    able &= block != block[i]
+                if able.any():
+                    alive |= able
+                    alive[i] = True
+            if alive.any():
+                m = int(alive.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, x)), pa.array(np.full(m, y)), pa.array(ids[alive]), pa.array(c[alive])], names=["x", "y", "id", "c"])
+
+    sorted_ = there.repartition("x", "y").sortWithinPartitions("x", "y")
+    members = staged(sorted_.mapInArrow(candidates, "x long, y long, id long, c long"), "cells")
+    bits = id_filter(members.select("id").distinct())
+    filled = members.join(_sets(docs, k, bits), "id").select("x", "y", "id", "c", "items")
+
+    def product(batches):
+        for _, held in _by_cell(batches, 5):
+            ids, c = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+            sets = [np.frombuffer(h[2], np.uint64) for h in held]
+            n = np.array([len(x) for x in sets])
+            links = []
+            for i, overlap in _overlaps(np.concatenate(sets), np.r_[0, np.cumsum(n)], _not_of_largest(c)):
+                hit = np.flatnonzero((100 * overlap >= percent * (n[i] + n - overlap)) & (c != c[i]))
+                _, one = np.unique(c[hit], return_index=True)
+                links += [(int(ids[i]), int(ids[j])) for j in hit[one]]
+            yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in links], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+    return filled.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(product, "a long, b long")
+
+
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
@@ -154,27 +261,24 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = staged(postings.join(hubs, "s"), "shared")
     size = classes.select("id", "n")
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """Accumulated overlaps by pair; pairs beyond the size bound are discarded."""
-        return (
-            pairs.groupBy("a", "b", "n").agg(F.count("*").alias("overlap"))
-            .join(size.select(F.col("id").alias("b"), F.col("n").alias("m")), "b")
-            .where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b", "overlap")
-        )
-
-    stars = staged(near(shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), "n")), "stars")
+    # Beyond its prefix a row of n has ceil(t n) - 1 shingles, so a pair shares at most its overlap within the prefixes
+    # and the larger of these numbers; it needs ceil(t / (1 + t) (n + m)).
+    needed = f"CAST(ceil({percent} * (n + m) / {100 + percent}) AS BIGINT)"
+    beyond = f"CAST(ceil({percent} * greatest(n, m) / 100) AS BIGINT) - 1"
+    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    stars = (
+        shared.where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b"), "n").agg(F.count("*").alias("overlap"))
+        .join(size.select(F.col("id").alias("b"), F.col("n").alias("m")), "b")
+    )
+    # a hub stands for some of its pair's shared postings only: half of the bound is enough to try the pair here
+    stars = staged(stars.where(fits).where(f"2 * overlap + {beyond} >= {needed}").select("a", "b"), "stars")
     links = staged(_verified(stars, known, k, percent), "links")
     label = staged(connected_components(links, "a", "b"), "label")
-    labelled = shared.join(label, "id", "left").select("s", "id", "n", F.coalesce("component", "id").alias("c"))
+    labelled = shared.join(label, "id", "left").select("s", "id", "n", "hub", F.coalesce("component", "id").alias("c"))
     mixed = labelled.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
     open_ = staged(labelled.join(mixed, "s"), "open")
-    left = open_.alias("l").join(open_.alias("r"), "s").where("l.c < r.c").where(f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)")
-    rest = left.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).groupBy("a", "b").agg(F.count("*").alias("overlap"))
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, known, k, percent))
-        label = staged(connected_components(links, "a", "b"), "label")
+    links = links.unionByName(_block_products(open_, known, k, percent))
+    label = staged(connected_components(links, "a", "b"), "label")
     members = (
         rows.join(classes.select("n", "x", "y", "id"), ["n", "x", "y"], "left").join(label, "id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))
