@@ -7,7 +7,7 @@ dropped and that stretch is encoded anew, over as many chunks as it takes. Agree
 the vocabulary's normaliser and pre-tokenizer never join across, so the result is that of the whole text.
 Within a chunk the stretches between agreement points are looked up by the same rule, which makes new chunks cheap.
 
-Reuse is held per Python worker in tables of bounded size that start over when full; results don't depend on it.
+Reuse is held per Python worker in tables of bounded size; results don't depend on it.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tessella.llm.common import arrow_batches, flat
+from tessella.llm.common import arrow_batches, flat, tidy
 
 #: Bytes that the rolling hash sees, bits of it that must be zero at a cut (512 bytes a chunk), least bytes of a chunk.
 ROLL, CUT_BITS, LEAST = 16, 9, 64
-#: Entries that a worker keeps: encoded stretches, and encoded chunks of CHUNK_BYTES of results in all.
-STRETCHES, CHUNK_BYTES = 400_000, 48_000_000
+#: What a worker keeps: encoded stretches in two generations of so many entries, and encoded chunks of CHUNK_BYTES of results in all.
+STRETCHES, CHUNK_BYTES = 170_000, 16_000_000
 #: Bytes of results in an Arrow batch.
 OUT_BYTES = 8_000_000
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -62,19 +62,22 @@ class Encoder:
         self.tokenizer.no_padding()
         self.token = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.stretches: dict[bytes, tuple] = {}
+        self.older: dict[bytes, tuple] = {}
         self.chunks: dict[bytes, tuple] = {}
         self.chunk_bytes = 0
         self.encoded = self.reused = 0
 
     def learn(self, pieces: list[bytes]) -> None:
-        """Encode the stretches that aren't known."""
-        known = self.stretches
-        new = list({p for p in pieces if p and p not in known})
-        if not new:
-            return
-        if len(known) + len(new) > STRETCHES:
-            known.clear()
-            new = list({p for p in pieces if p})
+        """Make the stretches known: from the older generation, which is dropped when the younger is full, or by encoding."""
+        new = {p for p in pieces if p and p not in self.stretches}
+        if len(self.stretches) + len(new) > STRETCHES:
+            self.older, self.stretches = self.stretches, {}
+            new = {p for p in pieces if p}
+        known, older = self.stretches, self.older
+        for p in [p for p in new if p in older]:
+            known[p] = older[p]
+            new.discard(p)
+        new = list(new)
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in part], add_special_tokens=False)):
@@ -176,7 +179,7 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 yield out()
 
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    return df.select(*cols).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")
+    return df.select(*cols).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids string, decoded string")
 
 
 def token_ids(encoded: DataFrame) -> DataFrame:
@@ -196,7 +199,7 @@ def decode_ids(df: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> Data
             text = [" ".join([token[int(i)] for i in (x or "").split(" ") if i and int(i) in token]) for x in col]
             yield b.append_column("decoded", pa.array(text, pa.string()))
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("decoded", StringType())]))
+    return df.mapInArrow(tidy(run), StructType([*df.schema.fields, StructField("decoded", StringType())]))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

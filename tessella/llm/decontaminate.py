@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import _BASE, NOT_WORD, arrow_batches, flat, mix, words
+from tessella.llm.common import arrow_batches, _BASE, flat, mix, NOT_WORD, tidy, words
 
 #: Bytes of benchmark text that go to the executors in one pass; larger benchmarks take several passes over the corpus.
 BENCHMARK_BYTES = 16_000_000
@@ -207,7 +207,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, min_tile: int = 5, coverag
                         names=["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"],
                     )
 
-        out = out.unionByName(docs.mapInArrow(run, schema))
+        out = out.unionByName(docs.mapInArrow(tidy(run), schema))
     return out
 
 
@@ -226,5 +226,5 @@ def without_contaminated(df: DataFrame, benchmark: DataFrame, min_tile: int = 5,
                 kept = b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_())) if bad else b
                 yield kept.select(list(range(last)))
 
-        df = df.select("*", F.lower(F.col(text_col).cast("string")).alias(lowered)).mapInArrow(run, schema)
+        df = df.select("*", F.lower(F.col(text_col).cast("string")).alias(lowered)).mapInArrow(tidy(run), schema)
     return df

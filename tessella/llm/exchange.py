@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessella.llm.common import tidy
+
 #: Bytes that a task gathers before it sends what it has for its fullest buckets.
 GATHERED = 48_000_000
 
@@ -74,4 +76,4 @@ def receive(sent: DataFrame, each: Callable[[int, dict[int, pa.Table]], Iterator
         if blobs:
             yield from each(now, joined())
 
-    return sent.select("bucket", "kind", "blob").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return sent.select("bucket", "kind", "blob").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import _LOWER, arrow_batches, flat
+from tessella.llm.common import arrow_batches, flat, _LOWER, tidy
 
 #: Texts in a block of the presence matrix, and bytes of text in it.
 BLOCK, BLOCK_BYTES = 128, 1 << 20
@@ -53,7 +53,7 @@ def _tables(grams1, grams2, grams3):
     one[grams1] = np.arange(len(grams1))
     two = np.full(1 << 16, features, np.int32)
     two[grams2] = len(grams1) + np.arange(len(grams2))
-    three = np.full(1 << 24, features, np.int32)
+    three = np.full(1 << 24, features, np.uint16 if features < 65536 else np.int32)
     three[grams3] = len(grams1) + len(grams2) + np.arange(len(grams3))
     return {"one": one, "two": two}, three, features
 
@@ -173,7 +173,7 @@ def identify_language(df: DataFrame, model: dict | None, id_col: str = "doc_id",
                 score[ok] = share[np.arange(len(best)), best] / np.maximum(share.sum(axis=1), 1e-12)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names.tolist(), pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), has_letter(text_col).alias("ok")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), has_letter(text_col).alias("ok")).mapInArrow(tidy(run), schema)
 
 
 def reject_unidentified(df: DataFrame, model: dict | None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
@@ -190,7 +190,7 @@ def reject_unidentified(df: DataFrame, model: dict | None, min_score: float = 0.
             share = np.clip((scorer.scores(*flat(b.column(at))) + 1) / 2, 0, 1)
             yield b.filter(pa.array(share.max(axis=1) >= min_score * share.sum(axis=1)))
 
-    return with_letter.mapInArrow(run, df.schema)
+    return with_letter.mapInArrow(tidy(run), df.schema)
 
 
 def language_id(df: DataFrame, per_language: int = 600, **how) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_batches, filter_place, flat, id_filter, mix, passes, shingles, words
+from tessella.llm.common import arrow_batches, filter_place, flat, id_filter, mix, passes, shingles, tidy, words
 from tessella.operators.graph import connected_components
 from tessella.storage import staged
 
@@ -65,7 +65,7 @@ def _common(docs: DataFrame, k: int) -> np.ndarray:
         yield from flush()
 
     rows = (
-        docs.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_TOTAL)
+        docs.mapInArrow(tidy(count), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_TOTAL)
         .orderBy(F.desc("n"), "s").limit(COMMON_LIMIT).select("s").toPandas()
     )
     return np.sort(rows["s"].to_numpy(dtype=np.int64, copy=True).view(np.uint64))
@@ -95,7 +95,7 @@ def _rows_of(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataF
             )
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), lists], names=["doc_id", "n", "x", "y", "prefix"])
 
-    return docs.mapInArrow(rows, "doc_id long, n long, x long, y long, prefix array<long>")
+    return docs.mapInArrow(tidy(rows), "doc_id long, n long, x long, y long, prefix array<long>")
 
 
 def _sets(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
@@ -112,7 +112,7 @@ def _sets(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
             for i in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 64), pa.array(out[i : i + 64], pa.binary())], names=["id", "items"])
 
-    return docs.select("doc_id", "text", *filter_place("doc_id")).mapInArrow(sets, "id long, items binary")
+    return docs.select("doc_id", "text", *filter_place("doc_id")).mapInArrow(tidy(sets), "id long, items binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(product, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(product), "a long, b long")
 
 
 def _overlaps(items: np.ndarray, at: np.ndarray, rows: np.ndarray):
@@ -164,18 +164,25 @@ def _not_of_largest(label: np.ndarray) -> np.ndarray:
     return np.flatnonzero(root != int(size.argmax()))
 
 
-def _by_cell(batches, columns: int):
-    """The rows of each cell, as a list of rows; cells come one after the other."""
+def _by_cell(batches):
+    """(cell, its columns) from rows that are sorted by their first two columns, the cell; numbers as arrays, sets as bytes."""
     now, held = None, []
+
+    def columns():
+        t = pa.Table.from_batches(held)
+        return [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in t.columns[2:]]
+
     for b in batches:
-        for x, y, *row in zip(*(b.column(j).to_pylist() for j in range(columns))):
-            if (x, y) != now and held:
-                yield now, held
+        x, y = b.column(0).to_numpy(), b.column(1).to_numpy()
+        begin = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else []
+        for i, j in zip(begin, [*begin[1:], len(x)]):
+            if (x[i], y[i]) != now and held:
+                yield now, columns()
                 held = []
-            now = (x, y)
-            held.append(row)
+            now = (x[i], y[i])
+            held.append(b.slice(i, j - i))
     if held:
-        yield now, held
+        yield now, columns()
 
 
 def _block_products(postings: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -200,8 +207,7 @@ def _block_products(postings: DataFrame, docs: DataFrame, k: int, percent: int)
     there = rows.join(sides, ["s", "block"]).select("x", "y", "id", "s", "n", "c", "block")
 
     def candidates(batches):
-        for (x, y), held in _by_cell(batches, 7):
-            ids, s, n, c, block = (np.array(v, np.int64) for v in zip(*held))
+        for (x, y), (ids, s, n, c, block) in _by_cell(batches):
             order = np.argsort(ids, kind="stable")
             at = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
             ids, n, c, block = ids[order][at], n[order][at], c[order][at], block[order][at]
@@ -220,14 +226,13 @@ def _block_products(postings: DataFrame, docs: DataFrame, k: int, percent: int)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, x)), pa.array(np.full(m, y)), pa.array(ids[alive]), pa.array(c[alive])], names=["x", "y", "id", "c"])
 
     sorted_ = there.repartition("x", "y").sortWithinPartitions("x", "y")
-    members = staged(sorted_.mapInArrow(candidates, "x long, y long, id long, c long"), "cells")
+    members = staged(sorted_.mapInArrow(tidy(candidates), "x long, y long, id long, c long"), "cells")
     bits = id_filter(members.select("id").distinct())
     filled = members.join(_sets(docs, k, bits), "id").select("x", "y", "id", "c", "items")
 
     def product(batches):
-        for _, held in _by_cell(batches, 5):
-            ids, c = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-            sets = [np.frombuffer(h[2], np.uint64) for h in held]
+        for _, (ids, c, raw) in _by_cell(batches):
+            sets = [np.frombuffer(h, np.uint64) for h in raw]
             n = np.array([len(x) for x in sets])
             links = []
             for i, overlap in _overlaps(np.concatenate(sets), np.r_[0, np.cumsum(n)], _not_of_largest(c)):
@@ -236,7 +241,7 @@ def _block_products(postings: DataFrame, docs: DataFrame, k: int, percent: int)
                 links += [(int(ids[i]), int(ids[j])) for j in hit[one]]
             yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in links], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
-    return filled.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(product, "a long, b long")
+    return filled.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(tidy(product), "a long, b long")
 
 
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

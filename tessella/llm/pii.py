@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessella.llm.common import arrow_batches
+from tessella.llm.common import arrow_batches, tidy
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "name", "secret")
@@ -223,7 +223,7 @@ def fit(df: DataFrame, text_col: str = "text") -> np.ndarray | None:
             keys = sorted(seen)
             yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in keys], pa.list_(pa.int32())), pa.array([seen[k] for k in keys], pa.int64())], names=["key", "n"])
 
-    got = _texts(df, text_col).mapInArrow(count, "key array<int>, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").collect()
+    got = _texts(df, text_col).mapInArrow(tidy(count), "key array<int>, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").collect()
     if not got:
         return None
     return train_classifier(np.array([r.key for r in got]), np.array([r.n for r in got], float))
@@ -258,7 +258,7 @@ def find_pii(df: DataFrame, weights: np.ndarray | None, threshold: float = 0.5,
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "base", "spans"])
 
     s = "array<struct<kind:string,start:int,end:int>>"
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, base {s}, spans {s}")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id long, base {s}, spans {s}")
 
 
 def redact(df: DataFrame, weights: np.ndarray | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -285,7 +285,7 @@ def redact(df: DataFrame, weights: np.ndarray | None, threshold: float = 0.5, te
             text = pa.array([clean(t) for t in b.column(at).to_pylist()], pa.string())
             yield b.set_column(at, b.schema.field(at).with_type(pa.string()), text)
 
-    return df.mapInArrow(run, StructType(list(df.schema.fields)))
+    return df.mapInArrow(tidy(run), StructType(list(df.schema.fields)))
 
 
 def digest(found: DataFrame) -> DataFrame:

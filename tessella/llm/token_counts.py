@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACES, arrow_batches, flat
+from tessella.llm.common import arrow_batches, flat, SPACES, tidy
 from tessella.llm.training_order import _tiktoken
 
 KEY = ("source", "lang", "tokenizer_version")
@@ -45,7 +45,7 @@ def count_tokens(df: DataFrame, ranks_path: str, bpe_version: str = "byte_bpe_50
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([version] * b.num_rows), pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "tokenizer_version", "n_tokens"])
 
     cols = [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("source", "lang", "text"))]
-    return df.select(*cols).mapInArrow(run, "doc_id long, source string, lang string, tokenizer_version string, n_tokens long")
+    return df.select(*cols).mapInArrow(tidy(run), "doc_id long, source string, lang string, tokenizer_version string, n_tokens long")
 
 
 class Ledger:

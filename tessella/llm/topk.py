@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.common import tidy
+
 #: Rows of a block, queries that go to the executors in one pass, and the depths as parts of the lists.
 BLOCK, QUERY_BLOCK, DEPTHS = 4096, 2048, (0.25, 0.5, 0.8)
 _LONG = (1 << 63) - 1
@@ -136,7 +138,7 @@ def exact_top_k(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
             for q, (i, s) in found.items():
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), q)), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(tidy(run), schema)
 
     for r in vectors(queries).groupBy("vec_id").agg(F.min("v").alias("v")).toLocalIterator():
         x = quantise(list(r.v))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_batches
+from tessella.llm.common import arrow_batches, tidy
 from tessella.llm.exchange import SENT, receive, send
 from tessella.storage import scratch
 
@@ -116,7 +116,7 @@ def sequences_in_training_order(
 
     path = scratch(spark, "sequences")
     staged_schema = "bucket int, begin long, n long, doc_ids array<long>, seq_nos array<long>, n_tokens array<int>, tokens binary"
-    receive(docs.mapInArrow(lambda it: send(by_id(it)), SENT), cut, staged_schema, parts).write.option("compression", "zstd").parquet(path)
+    receive(docs.mapInArrow(tidy(lambda it: send(by_id(it))), SENT), cut, staged_schema, parts).write.option("compression", "zstd").parquet(path)
     cuts_ = spark.read.schema(staged_schema).parquet(path)
     sums = {r.bucket: r.n for r in cuts_.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # one row per partition
     first, total = {}, 0
@@ -151,7 +151,7 @@ def sequences_in_training_order(
 
     small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(int(small), 64))
-    return receive(cuts_.mapInArrow(lambda it: send(to_slots(it)), SENT), in_order,
+    return receive(cuts_.mapInArrow(tidy(lambda it: send(to_slots(it))), SENT), in_order,
                    "slot long, shard long, byte_offset long, doc_id long, seq_no long, n_tokens int, tokens binary", parts)
 
 
@@ -187,7 +187,7 @@ def write_shards(sequences: DataFrame, path: str, stride: int) -> DataFrame:
         if parts:
             yield close(now, parts)
 
-    return sequences.select("shard", "tokens").mapInArrow(run, "shard long, slots long, file string")
+    return sequences.select("shard", "tokens").mapInArrow(tidy(run), "shard long, slots long, file string")
 
 
 def read_slots(spark: SparkSession, path: str, begin: int, count: int, length: int = 512, slots_per_shard: int = 4096) -> list[np.ndarray]:
