@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = ""
+from tessella.plans.catalog import ORACLE, QUERIES
+
+FLAGSHIP = "match_float_mnn_ratio"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
