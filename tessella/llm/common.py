@@ -79,6 +79,19 @@ def passes(bits: np.ndarray, bucket: pa.Array, position: pa.Array) -> np.ndarray
     return (bits[where * 4096 + pos // 8] >> (pos % 8).astype(np.uint8)) & 1 > 0
 
 
+def among(df: DataFrame, bits: np.ndarray, id_col: str = "doc_id") -> DataFrame:
+    """The rows of df whose id may be among those of the filter, found where they are; a join on the few rows left settles it."""
+
+    def run(batches):
+        for b in batches:
+            keep = passes(bits, b.column(b.num_columns - 2), b.column(b.num_columns - 1))
+            yield b.filter(pa.array(keep)).select(list(range(b.num_columns - 2)))
+
+    arrow_batches(df.sparkSession)
+    where, position = filter_place(id_col)
+    return df.select("*", where.alias("__bucket"), position.alias("__position")).mapInArrow(tidy(run), df.schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits whose output bits all depend on all input bits (splitmix64's finaliser)."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

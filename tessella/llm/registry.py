@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import digests, encode_documents
-from tessella.llm.common import read
+from tessella.llm.common import among, id_filter, read
 from tessella.llm.decontaminate import contaminated
 from tessella.llm.langid import language_id
 from tessella.llm.licences import licence_scan
@@ -55,11 +55,12 @@ def op6_delta_token_counts(spark, sf_dir):
     label = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")).where("toxic = 1 OR quality = 0")
     inserts = count_tokens(docs, BYTE_RANKS).withColumn("op", F.lit("insert"))
     ledger.apply("insert-all", inserts)
-    labelled = docs.join(label, "doc_id")
     gone = ledger.documents().join(label.where("toxic = 1"), "doc_id", "left_semi").select(
         "doc_id", "source", "lang", "tokenizer_version", F.col("tokens").alias("n_tokens"), F.lit("delete").alias("op"))
-    tidy = labelled.where("toxic = 0").withColumn("text", F.trim(F.regexp_replace("text", r"[ \t\n]+", " ")))
-    ledger.apply("labels", gone.unionByName(count_tokens(tidy, BYTE_RANKS).withColumn("op", F.lit("revise"))))
+    poor = label.where("toxic = 0").select("doc_id")
+    tidied = among(docs, id_filter(poor.select(F.col("doc_id").alias("id")))).withColumn("text", F.trim(F.regexp_replace("text", r"[ \t\n]+", " ")))
+    revised = count_tokens(tidied, BYTE_RANKS).join(poor, "doc_id", "left_semi").withColumn("op", F.lit("revise"))
+    ledger.apply("labels", gone.unionByName(revised))
     ledger.apply("insert-all", inserts)
     return ledger.totals()
 

@@ -58,3 +58,24 @@ def test_ties_within_a_batch(spark, tmp_path):
     ledger = Ledger(spark, f"{tmp_path}/l")
     ledger.apply("a", spark.createDataFrame([(1, "s", "l", "v", 5, "insert"), (1, "s", "l", "v", 9, "insert"), (2, "s", "l", "v", 5, "insert"), (2, "s", "l", "v", 5, "delete")], SCHEMA))
     assert [tuple(x) for x in ledger.totals().collect()] == [("s", "l", "v", 1, 9)]
+
+
+def test_query_against_replay(spark, tmp_path):
+    from tessella.llm.registry import op6_delta_token_counts
+
+    r, e = random.Random(5), _tiktoken(RANKS)
+    docs = [(i, " ".join(r.choice(["ab", "é", "x  y", "\n"]) for _ in range(r.randint(0, 30))), r.choice(["en", "de"]), f"s{i % 3}", 1) for i in range(200)]
+    labels = [(i, r.randint(0, 1), r.randint(0, 1)) for i in range(0, 220, 2)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    toxic, poor = {i for i, _, t in labels if t}, {i for i, q, t in labels if not t and not q}
+    want = defaultdict(lambda: [0, 0])
+    for i, t, lang, source, _ in docs:
+        if i in toxic:
+            continue
+        t = re.sub(r"[ \t\n]+", " ", t).strip(" ") if i in poor else t
+        for v, n in (("byte_bpe_50k", len(e.encode_ordinary(t))), ("words_v1", len(re.findall(r"[^\x20\x09-\x0D]+", t)))):
+            want[source, lang, v][0] += 1
+            want[source, lang, v][1] += n
+    got = {(t.source, t.lang, t.tokenizer_version): [t.n_docs, t.n_tokens] for t in op6_delta_token_counts(spark, str(tmp_path)).collect()}
+    assert got == dict(want)
