@@ -53,7 +53,8 @@ def cuts(data: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes byte strings with a tokenizers file; keeps what it has seen."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = STRETCHES):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -70,7 +71,7 @@ class Encoder:
     def learn(self, pieces: list[bytes]) -> None:
         """Make the stretches known: from the older generation, which is dropped when the younger is full, or by encoding."""
         new = {p for p in pieces if p and p not in self.stretches}
-        if len(self.stretches) + len(new) > STRETCHES:
+        if len(self.stretches) + len(new) > self.most:
             self.older, self.stretches = self.stretches, {}
             new = {p for p in pieces if p}
         known, older = self.stretches, self.older
@@ -145,18 +146,19 @@ class Encoder:
         return n, " ".join(ids), " ".join(toks)
 
 
-def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = STRETCHES) -> DataFrame:
     """One row per row: doc_id, n_tokens, ids (decimal, joined by one space), decoded.
 
     ids are those of the tokenizers library on the whole text without special tokens added, decoded is its decode()
     with special tokens kept, for a file without a decoder: tokens joined by one space. Null and empty texts have no tokens and
     empty strings. Repeated rows stay repeated; other columns are ignored; an empty table gives an empty one.
+    most: encoded stretches that a worker keeps in a generation, memory against time.
     The file's white space must be a boundary of its pre-tokenizer, and all executors must have the file.
     """
     arrow_batches(df.sparkSession)
 
     def run(batches):
-        encoder = Encoder(tokenizer_path)
+        encoder = Encoder(tokenizer_path, most)
         for b in batches:
             data, off = flat(b.column(1))
             raw = data.tobytes()
