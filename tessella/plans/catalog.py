@@ -90,7 +90,7 @@ L2 = "list_sum(list_transform(range(1, len(a.v) + 1), lambda t: (a.v[t] - b.v[t]
 
 @query(_match_sql(L2, 0.95 * 0.95))
 def match_float_mnn_ratio(s, d):
-    return matching.match_float(all_pairs(s, d), keypoints(s, d), 0.95)
+    return matching.match_float_products(all_pairs(s, d), keypoints(s, d), 0.95)
 
 
 def _codes(kp):
