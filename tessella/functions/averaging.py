@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+PULL = 1e-8
+
 
 def quaternion(r: np.ndarray) -> np.ndarray:
     """Unit (w, x, y, z) of a rotation with w >= 0: the main eigenvector of the symmetric form of Bar-Itzhack."""
@@ -75,14 +77,14 @@ def positions(edges, rotations: dict, root: int, iterations: int = 5) -> dict[in
     for _ in range(iterations):
         a, b, along = np.zeros((3 * n, 3 * n)), np.zeros(3 * n), np.zeros(3 * n)
         for (i, j, d), weight in zip(use, w):
-            across = weight * (np.eye(3) - np.outer(d, d)) + 1e-4 * np.eye(3)
+            across = weight * (np.eye(3) - np.outer(d, d)) + PULL * np.eye(3)
             si, sj = slice(3 * i, 3 * i + 3), slice(3 * j, 3 * j + 3)
             a[si, si] += across
             a[sj, sj] += across
             a[si, sj] -= across
             a[sj, si] -= across
-            b[sj] += 1e-4 * d
-            b[si] -= 1e-4 * d
+            b[sj] += PULL * d
+            b[si] -= PULL * d
             along[sj] += d
             along[si] -= d
         keep = np.setdiff1d(np.arange(3 * n), np.arange(3) + 3 * at[root])
