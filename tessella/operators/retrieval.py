@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import vocabulary
+
 
 def histogram(words: DataFrame) -> DataFrame:
     """(image, word) rows -> image, word, tf."""
@@ -37,3 +41,30 @@ def most_similar(words: DataFrame, top: int, stop_share: float = 0.8) -> DataFra
     score = a.join(b, "word").where("image <> other").groupBy("image", "other").agg(F.round(F.sum(F.col("w1") * F.col("w2")), 9).alias("score"))
     w = Window.partitionBy("image").orderBy(F.desc("score"), "other")
     return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def vocabulary_pairs(keypoints: DataFrame, neighbours: int = 10, branching: int = vocabulary.BRANCHING, depth: int = vocabulary.DEPTH) -> DataFrame | None:
+    """keypoints (image, kp, desc) -> candidate pairs (i, j), i < j: each image with its most similar ones by visual words.
+
+    The tree is trained on at most vocabulary.SAMPLE descriptors (every n-th of an image), the words cover all of them. None where
+    descriptors are missing or of several lengths, as for markers: pair exhaustively then."""
+    sizes = keypoints.agg(F.count("*").alias("n"), F.count("desc").alias("d"), F.min(F.size("desc")).alias("a"), F.max(F.size("desc")).alias("b")).first()
+    if not sizes.n or sizes.d < sizes.n or sizes.a != sizes.b:
+        return None
+    stride = max(1, -(-sizes.n // vocabulary.SAMPLE))
+    place = F.row_number().over(Window.partitionBy("image").orderBy("kp")) - 1
+    rows = keypoints.select("image", "kp", "desc", place.alias("_n")).where(F.col("_n") % stride == 0).orderBy("image", "kp").limit(vocabulary.SAMPLE).select("desc").collect()
+    nodes = vocabulary.train(np.array([r.desc for r in rows], float), branching, depth)
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"image": b.image, "word": vocabulary.words(nodes, np.array(b.desc.tolist(), float))})
+
+    found = most_similar(keypoints.select("image", "desc").mapInPandas(run, "image long, word long"), neighbours)
+    return found.select(F.least("image", "other").alias("i"), F.greatest("image", "other").alias("j")).distinct()
+
+
+def unpacked(codes: Column) -> Column:
+    """Bits of 64-bit words as an array of doubles, the lowest first."""
+    return F.flatten(F.transform(codes, lambda c: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", c, i).bitwiseAND(F.lit(1)).cast("double"))))

@@ -49,12 +49,12 @@ def discover(paths: DataFrame) -> tuple[DataFrame, str]:
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """name: paths under root relative to it; contents are not read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    base = F.lit(root.rstrip("/").removeprefix("file:").removeprefix("//") + "/")
+    base = root.rstrip("/").removeprefix("file:").removeprefix("//") + "/"
     return f.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path")).select(F.substring_index("path", base, -1).alias("name"))
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
     """name, width, height, channels, data of decoded images (Spark's image source; files it can't decode are left out)."""
     i = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(root).select("image.*")
-    base = F.lit(root.rstrip("/").removeprefix("file:").removeprefix("//") + "/")
+    base = root.rstrip("/").removeprefix("file:").removeprefix("//") + "/"
     return i.select(F.substring_index(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B"))), base, -1).alias("name"), "width", "height", F.col("nChannels").alias("channels"), "data")
