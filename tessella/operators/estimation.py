@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame
 from tessella.functions import kernels
 
 
-def verified_pairs(matches: DataFrame, threshold: float, min_inliers: int = 15) -> DataFrame:
+def verified_pairs(matches: DataFrame, threshold: float | None, min_inliers: int = 15) -> DataFrame:
     """matches (image1, image2, k1, k2, x1, y1, x2, y2; normalised) -> image1, image2, rotation (9), translation (3), inliers
-    (array of k1, k2), for pairs with max(min_inliers, 8) matches and min_inliers inliers at least."""
+    (array of k1, k2). threshold None: it is a column of matches. For pairs with max(min_inliers, 8) matches and min_inliers inliers at least."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["k1", "k2"])
         out = None
         if len(g) >= max(min_inliers, 8):
-            out = kernels.two_view(g[["x1", "y1"]].to_numpy(), g[["x2", "y2"]].to_numpy(), threshold)
+            out = kernels.two_view(g[["x1", "y1"]].to_numpy(), g[["x2", "y2"]].to_numpy(), g.threshold.iloc[0] if threshold is None else threshold)
         if out is None or out[2].sum() < min_inliers:
             return pd.DataFrame(columns=["image1", "image2", "rotation", "translation", "inliers"], dtype=object)
         kept = g[out[2]]

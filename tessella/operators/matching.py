@@ -52,12 +52,14 @@ def match_float(pairs: DataFrame, keypoints: DataFrame, ratio: float = 0.8) -> D
     return _mutual(_crossed(pairs, keypoints, squared_l2), F.col("d") < ratio * ratio * F.col("second"))
 
 
-def match_float_products(pairs: DataFrame, keypoints: DataFrame, ratio: float = 0.8) -> DataFrame:
-    """As match_float, distances of a pair of images as one matrix product; an image's descriptors are one row (a bounded number)."""
+def match_float_products(pairs: DataFrame, keypoints: DataFrame, ratio: float = 0.8, linear: bool = False) -> DataFrame:
+    """As match_float (linear: best < ratio * second, as for bits, whose squared L2 is the Hamming distance), distances of a pair of images as one matrix product; an image's descriptors are one row (a bounded number)."""
     packed = keypoints.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("kp", "desc"))).alias("k")).select("image", F.col("k.kp").alias("kp"), F.flatten("k.desc").alias("v"))
     a, b = (packed.select(F.col("image").alias(f"image{i}"), F.col("kp").alias(f"kp{i}"), F.col("v").alias(f"v{i}")) for i in (1, 2))
     both = pairs.select(F.col("i").alias("image1"), F.col("j").alias("image2")).repartition("image1", "image2").join(a, "image1").join(b, "image2")
 
+    factor = ratio if linear else ratio * ratio
+
     def run(frames):
         for f in frames:
             for r in f.itertuples(index=False):
@@ -67,7 +69,7 @@ def match_float_products(pairs: DataFrame, keypoints: DataFrame, ratio: float =
                 one, back = d.argmin(1), d.argmin(0)
                 best = d[np.arange(len(k1)), one]
                 second = np.partition(d, 1, axis=1)[:, 1] if len(k2) > 1 else np.full(len(k1), np.inf)
-                ok = (best < ratio * ratio * second) & (back[one] == np.arange(len(k1)))
+                ok = (best < factor * second) & (back[one] == np.arange(len(k1)))
                 yield pd.DataFrame({"image1": r.image1, "image2": r.image2, "k1": k1[ok], "k2": k2[one[ok]]})
 
     return both.select("image1", "image2", "kp1", "v1", "kp2", "v2").mapInPandas(run, "image1 long, image2 long, k1 long, k2 long")
