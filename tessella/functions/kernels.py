@@ -51,7 +51,8 @@ def ransac(n: int, size: int, threshold: float, seed: int, estimate, residuals,
 
 
 def null_vector(a: np.ndarray) -> np.ndarray:
-    return np.linalg.svd(a, full_matrices=True)[2][-1]
+    # the left vectors, rows x rows, are needed by nobody
+    return np.linalg.svd(a, full_matrices=a.shape[0] < a.shape[1])[2][-1]
 
 
 def hartley(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
