@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessella.functions import kernels
 
@@ -31,15 +32,22 @@ def triangulated(observations: DataFrame) -> DataFrame:
     """observations (point, image, x, y normalised, rotation, translation) -> point, x, y, z, n_views; a point of fewer than two views or at
     infinity is left out."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("image")
-        poses = [(np.array(r).reshape(3, 3), np.array(t)) for r, t in zip(g.rotation, g.translation)]
-        x = kernels.triangulate(poses, g[["x", "y"]].to_numpy())
-        if x is None:
-            return pd.DataFrame(columns=["point", "x", "y", "z", "n_views"], dtype=object)
-        return pd.DataFrame({"point": [g.point.iloc[0]], "x": [x[0]], "y": [x[1]], "z": [x[2]], "n_views": [len(g)]})
-
-    return observations.groupBy("point").applyInPandas(run, "point long, x double, y double, z double, n_views long")
+    views = observations.groupBy("point").agg(F.array_sort(F.collect_list(F.struct("image", "x", "y", "rotation", "translation"))).alias("v")).where(F.size("v") > 1)
+    # a track has one view an image, so a row is bounded; points of a batch with equally many views are solved as one stack
+    flat = views.select("point", F.size("v").cast("long").alias("n"), F.flatten(F.transform("v", lambda v: F.concat(F.array(v["x"], v["y"]), v["rotation"], v["translation"]))).alias("a"))
+
+    def run(frames):
+        for f in frames:
+            for n, g in f.groupby("n"):
+                a = np.stack(g.a.to_numpy()).reshape(len(g), n, 14)
+                p = np.concatenate([a[:, :, 2:11].reshape(len(g), n, 3, 3), a[:, :, 11:, None]], axis=3)
+                rows = np.concatenate([a[:, :, 0, None] * p[:, :, 2] - p[:, :, 0], a[:, :, 1, None] * p[:, :, 2] - p[:, :, 1]], axis=1)
+                h = np.linalg.svd(rows, full_matrices=False)[2][:, -1]
+                ok = np.abs(h[:, 3]) >= 1e-12
+                x = h[ok, :3] / h[ok, 3:]
+                yield pd.DataFrame({"point": g.point.to_numpy()[ok], "x": x[:, 0], "y": x[:, 1], "z": x[:, 2], "n_views": n})
+
+    return flat.mapInPandas(run, "point long, x double, y double, z double, n_views long")
 
 
 def resected(correspondences: DataFrame, threshold: float, min_correspondences: int = 12) -> DataFrame:
