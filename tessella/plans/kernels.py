@@ -80,7 +80,7 @@ def bundle_adjust(s, d):
     images = s.createDataFrame([(0, 1, np.eye(3).ravel().tolist(), [0.0] * 3), (1, 1, r.ravel().tolist(), t.tolist())], "image_id long, camera_id long, rotation array<double>, translation array<double>")
     moved = _scene(s, d).select(F.col("id").alias("point_id"), (F.col("x") + 0.02 * F.sin(F.col("id") * 2.1)).alias("x"), (F.col("y") - 0.02 * F.cos(F.col("id") * 1.7)).alias("y"), (F.col("z") + 0.05 * F.sin(F.col("id") * 0.9)).alias("z"))
     obs = v.select(F.col("point").alias("point_id"), F.col("image").alias("image_id"), F.lit(0).alias("kp"), (700 * F.col("x") + 320).alias("x"), (700 * F.col("y") + 240).alias("y"))
-    points, _, _ = adjustment.adjusted(adjustment.with_views(moved, obs), adjustment.Problem(cams, images), fixed_images=[0, 1], options=bundle.Options(iterations=6, loss="none"))
+    points, _, _ = adjustment.adjusted(adjustment.with_views(moved, obs), adjustment.Problem(cams, images), fixed_images=[0, 1], options=bundle.Options(iterations=3, loss="none"))
     return points.select(F.col("point_id").alias("point"), *(F.round(c, 3).alias(c) for c in "xyz"))
 
 
