@@ -16,7 +16,7 @@ from tessella.llm import suffix_dedup, topk
 from tessella.llm.pii import pii
 from tessella.llm.token_counts import Ledger, count_tokens
 from tessella.llm.topk import exact_top_k
-from tessella.llm.training_order import sequences_in_training_order
+from tessella.llm.training_order import training_order
 from tessella.storage import scratch
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -78,7 +78,8 @@ def op9_string_kernel_langid(spark, sf_dir):
 
 
 def op10_feistel_training_order(spark, sf_dir):
-    return sequences_in_training_order(read(spark, sf_dir, "documents"), BYTE_RANKS)
+    """The shards are written to the shared folder; the rows are read from them."""
+    return training_order(read(spark, sf_dir, "documents"), BYTE_RANKS, scratch(spark, "shards"))
 
 
 QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_bpe_chunk_reuse, op3_no_random_access_top_k, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_delta_token_counts, op7_greedy_tiling_decontamination, op8_weak_supervision_pii, op9_string_kernel_langid, op10_feistel_training_order)}

@@ -10,6 +10,7 @@ sequentially and resumes at any slot.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import uuid
 from functools import lru_cache
@@ -24,6 +25,10 @@ from tessella.llm.exchange import SENT, receive, send
 from tessella.storage import scratch
 
 ROUNDS = 6
+#: Parts in which the shards are written: disk holds the shuffle of one of them beside the shards.
+WAVES = 2
+#: Columns of sequences in training order.
+ROWS = "slot long, shard long, byte_offset long, doc_id long, seq_no long, n_tokens int, tokens binary"
 _M32 = np.uint64(0xFFFFFFFF)
 
 
@@ -73,6 +78,11 @@ def sequences_in_training_order(
     follow doc_id (null first), then the text among repeated ids, so that result and slots depend on rows, key and
     length alone. Rows come in slot order within a partition, a shard in one partition. An empty table gives an empty one.
     """
+    return _in_waves(df, ranks_path, end_id, length, slots_per_shard, key, id_col, text_col, 1)[0]
+
+
+def _in_waves(df: DataFrame, ranks_path: str, end_id: int, length: int, slots_per_shard: int, key: int, id_col: str, text_col: str, waves: int) -> list[DataFrame]:
+    """The rows of sequences_in_training_order as waves tables of whole shards, so that a table's shuffle can go before the next one's."""
     spark = df.sparkSession
     arrow_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -126,7 +136,7 @@ def sequences_in_training_order(
     shards = -(-total // slots_per_shard)
     per_group = max(1, -(-shards // parts)) * slots_per_shard
 
-    def to_slots(batches):
+    def to_slots(batches, wave):
         for b in batches:
             for r in range(b.num_rows):
                 get = lambda c: b.column(c)[r]  # noqa: E731, B023
@@ -138,7 +148,9 @@ def sequences_in_training_order(
                     [pa.array(slots), get(3).values, get(4).values, get(5).values, pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), n, [None, tokens])],
                     names=["slot", "doc_id", "seq_no", "n_tokens", "tokens"],
                 )
-                yield slots // per_group, rows
+                group = slots // per_group
+                mine = group % waves == wave
+                yield (group, rows) if mine.all() else (group[mine], rows.filter(pa.array(mine)))
 
     def in_order(group, tables):
         t = tables[0].sort_by("slot")
@@ -151,22 +163,32 @@ def sequences_in_training_order(
 
     small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(int(small), 64))
-    return receive(cuts_.mapInArrow(tidy(lambda it: send(to_slots(it))), SENT), in_order,
-                   "slot long, shard long, byte_offset long, doc_id long, seq_no long, n_tokens int, tokens binary", parts)
+    return [receive(cuts_.mapInArrow(tidy(lambda it, w=w: send(to_slots(it, w))), SENT), in_order, ROWS, parts) for w in range(waves)]
+
+
+#: Columns of what write_shards() gives; the lists are by slot.
+WRITTEN = "shard long, slots long, file string, n_bytes long, sha256 string, doc_ids array<long>, seq_nos array<long>, n_tokens array<int>"
+
+
+def _open_store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"\w+://", path) else (fs.LocalFileSystem(), path)
 
 
 def write_shards(sequences: DataFrame, path: str, stride: int) -> DataFrame:
     """Write shard-<number>.bin files into path (a folder or URI that all executors reach): slots in order, stride bytes
     each. A shard is written under another name and renamed when whole; one that is there in full size is left alone, so a job that
-    broke off resumes. Returns shard, slots, file."""
+    broke off resumes. Returns shard, slots, file, n_bytes and sha256 of what belongs in it, and by slot doc_ids, seq_nos, n_tokens."""
 
     def run(batches):
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(path) if re.match(r"\w+://", path) else (fs.LocalFileSystem(), path)
+        store, root = _open_store(path)
         store.create_dir(root, recursive=True)
 
-        def close(shard, parts):
+        def close(shard, rows):
+            parts = rows["tokens"]
             file, size = f"{root}/shard-{shard:08d}.bin", sum(map(len, parts))
             info = store.get_file_info(file)
             if info.type == fs.FileType.NotFound or info.size != size:
@@ -174,27 +196,76 @@ def write_shards(sequences: DataFrame, path: str, stride: int) -> DataFrame:
                     for p in parts:
                         f.write(p)
                 store.move(temporary, file)
-            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([size // stride]), pa.array([file])], names=["shard", "slots", "file"])
-
-        now, parts = None, []
+            digest = hashlib.sha256()
+            for p in parts:
+                digest.update(p)
+            lists = [pa.array([rows[c]], pa.list_(kind)) for c, kind in (("doc_id", pa.int64()), ("seq_no", pa.int64()), ("n_tokens", pa.int32()))]
+            head = [pa.array([x]) for x in (shard, size // stride, file, size, digest.hexdigest())]
+            return pa.RecordBatch.from_arrays([*head, *lists], names=["shard", "slots", "file", "n_bytes", "sha256", "doc_ids", "seq_nos", "n_tokens"])
+
+        names = ("tokens", "doc_id", "seq_no", "n_tokens")
+        now, rows = None, {c: [] for c in names}
         for b in batches:
-            for shard, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if shard != now and parts:
-                    yield close(now, parts)
-                    parts = []
-                now = shard
-                parts.append(t)
-        if parts:
-            yield close(now, parts)
+            shards = b.column(0).to_numpy()
+            begin = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]).tolist() if len(shards) else []
+            for i, j in zip(begin, [*begin[1:], len(shards)]):
+                if shards[i] != now and rows["tokens"]:
+                    yield close(now, rows)
+                    rows = {c: [] for c in names}
+                now = int(shards[i])
+                for k, c in enumerate(names, 1):
+                    rows[c] += b.column(k).slice(i, j - i).to_pylist()
+        if rows["tokens"]:
+            yield close(now, rows)
+
+    return sequences.select("shard", "tokens", "doc_id", "seq_no", "n_tokens").mapInArrow(tidy(run), WRITTEN)
+
+
+def read_shards(written: DataFrame, path: str, length: int = 512, slots_per_shard: int = 4096) -> DataFrame:
+    """The rows of sequences_in_training_order from the files that write_shards has written to path; a file whose size or hash is not
+    that of its slots is an error."""
+    stride = 2 * length
 
-    return sequences.select("shard", "tokens").mapInArrow(tidy(run), "shard long, slots long, file string")
+    def run(batches):
+        store, root = _open_store(path)
+        for b in batches:
+            for r in b.to_pylist():
+                with store.open_input_stream(f"{root}/shard-{r['shard']:08d}.bin") as f:
+                    data = f.read()
+                if len(data) != r["n_bytes"] or hashlib.sha256(data).hexdigest() != r["sha256"]:
+                    raise ValueError(f"{r['file']} does not hold its slots")
+                for i in range(0, r["slots"], 1024):
+                    n = min(1024, r["slots"] - i)
+                    at = np.arange(i, i + n)
+                    tokens = pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride), n, [None, pa.py_buffer(data[i * stride : (i + n) * stride])])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(r["shard"] * slots_per_shard + at), pa.array(np.full(n, r["shard"])), pa.array(at * stride),
+                         *(pa.array(r[c][i : i + n], kind) for c, kind in (("doc_ids", pa.int64()), ("seq_nos", pa.int64()), ("n_tokens", pa.int32()))), tokens.cast(pa.binary())],
+                        names=["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "tokens"],
+                    )
+
+    return written.select("shard", "slots", "file", "n_bytes", "sha256", "doc_ids", "seq_nos", "n_tokens").mapInArrow(tidy(run), ROWS)
+
+
+def training_order(
+    df: DataFrame, ranks_path: str, path: str, end_id: int = 50256, length: int = 512, slots_per_shard: int = 4096, key: int = 20240607,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The whole job: sequences in training order are written to path as shard files, and the rows come from these files."""
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, index = spark.conf.get(cleanup, "false"), scratch(spark, "shards")
+    spark.conf.set(cleanup, "true")  # each plan here runs once: its shuffle goes before the next one writes
+    try:
+        for sequences in _in_waves(df, ranks_path, end_id, length, slots_per_shard, key, id_col, text_col, WAVES):
+            write_shards(sequences, path, 2 * length).write.mode("append").parquet(index)
+    finally:
+        spark.conf.set(cleanup, before)
+    return read_shards(spark.read.schema(WRITTEN).parquet(index), path, length, slots_per_shard)
 
 
 def read_slots(spark: SparkSession, path: str, begin: int, count: int, length: int = 512, slots_per_shard: int = 4096) -> list[np.ndarray]:
     """count sequences from slot begin on, read one after the other: what a training process resumes with."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(path) if re.match(r"\w+://", path) else (fs.LocalFileSystem(), path)
+    store, root = _open_store(path)
     out = []
     while len(out) < count:
         shard, at = divmod(begin + len(out), slots_per_shard)

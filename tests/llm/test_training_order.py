@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tessella.llm.training_order import _tiktoken, feistel_slots, read_slots, sequences_in_training_order, write_shards
+from tessella.llm.training_order import _tiktoken, feistel_slots, read_slots, sequences_in_training_order, training_order, write_shards
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -52,3 +52,28 @@ def test_slots_and_shards(spark, tmp_path):
 
 def test_empty(spark):
     assert sequences_in_training_order(spark.createDataFrame([], "doc_id long, text string"), RANKS).count() == 0
+
+
+def test_query_writes_its_shards(spark, monkeypatch, tmp_path):
+    from tessella.llm import registry
+
+    data = rows()
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(registry, "scratch", lambda _, name: f"{tmp_path}/{name}")
+    got = registry.op10_feistel_training_order(spark, str(tmp_path)).collect()
+    want = brute(data, 512, 20240607)
+    held = b"".join(p.read_bytes() for p in sorted((tmp_path / "shards").glob("shard-*.bin")))
+    assert len(got) == len(want) and len(held) == 1024 * len(want)
+    assert all(bytes(g.tokens) == held[1024 * g.slot : 1024 * g.slot + 1024] == np.array(want[g.slot][3], "<u2").tobytes() for g in got)
+    assert {g.slot: (g.doc_id, g.seq_no, g.n_tokens) for g in got} == {s: x[:3] for s, x in want.items()}
+
+
+def test_rows_come_from_the_files(spark, tmp_path):
+    df = spark.createDataFrame(rows(), "doc_id long, text string")
+    got = training_order(df, RANKS, f"{tmp_path}/shards", length=16, slots_per_shard=50, key=7)
+    assert {g.slot: (g.shard, g.byte_offset, np.frombuffer(g.tokens, "<u2").tolist()) for g in got.collect()} == {s: (s // 50, s % 50 * 32, x[3]) for s, x in brute(rows(), 16, 7).items()}
+    file = tmp_path / "shards" / "shard-00000001.bin"
+    file.write_bytes(bytes(file.stat().st_size))
+    with pytest.raises(Exception, match="does not hold its slots"):
+        got.collect()
+    assert training_order(df.limit(0), RANKS, f"{tmp_path}/none").count() == 0
