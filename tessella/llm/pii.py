@@ -48,6 +48,8 @@ BEFORE = {
     "name": ("dear", "by", "contact", "sincerely"), "secret": ("password", "passwd", "token", "secret", "key", "pwd"),
 }
 AGAINST = ("version", "page", "isbn", "invoice", "order", "sha256", "commit", "figure", "table")
+#: What the counts of vote patterns are scaled to sum up to, however large the corpus.
+TOTAL = 10_000.0
 LABELERS = ("regex", "checksum", "gazetteer", "before", "against", "surroundings")
 
 
@@ -187,10 +189,12 @@ def _features(patterns: np.ndarray) -> np.ndarray:
 
 
 def train_classifier(patterns: np.ndarray, counts: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a logistic regression on the posteriors, by Newton steps."""
-    p, _ = expectation_maximisation(patterns, counts)
+    """Weights of a logistic regression on the posteriors, by Newton steps.
+
+    Counts enter as shares of a fixed total: ridge and smoothing, and so the weights, are those of any multiple of the corpus."""
+    weight = counts * (TOTAL / counts.sum())
+    p, _ = expectation_maximisation(patterns, weight)
     x, w = _features(patterns), np.zeros(_features(patterns[:1]).shape[1])
-    weight = np.minimum(counts, 1000).astype(float)
     for _ in range(25):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - q)) - ridge * w

@@ -83,3 +83,20 @@ def test_edges(spark):
     assert P.pii(df).count() == 0 and P.fit(df) is None
     blank = spark.createDataFrame([(1, None), (2, "nothing")], "doc_id long, text string")
     assert {x.spans for x in P.pii(blank).collect()} == {""}
+
+
+def test_weights_do_not_depend_on_the_size_of_the_corpus(spark):
+    df = spark.createDataFrame(rows(), "doc_id long, text string")
+    seen = {}
+    for _, t in rows():
+        base = P.base_spans(t or "")
+        for spans, is_base in ((base, True), (P.candidate_spans(t or "", base), False)):
+            for x in spans:
+                key = P.votes(t, *x, is_base)
+                seen[key] = seen.get(key, 0) + 1
+    patterns, counts = np.array(sorted(seen)), np.array([seen[k] for k in sorted(seen)], float)
+    once = P.train_classifier(patterns, counts)
+    assert np.allclose(once, P.fit(df), atol=1e-6)
+    for times in (3, 100_000):
+        assert np.allclose(once, P.train_classifier(patterns, times * counts), atol=1e-6)
+    assert np.allclose(once, P.fit(df.unionAll(df).unionAll(df)), atol=1e-6)
