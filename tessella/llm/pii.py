@@ -34,7 +34,7 @@ _NOT_DIGIT = re.compile("[^0-9]")
 
 _LOOSE_PHONE = re.compile(r"(?<![0-9+.,/:-])\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,5}){2,4}(?![0-9.,/:-]*[0-9])")
 _WORDED_EMAIL = re.compile(r"\b[A-Za-z0-9._%+-]{2,40} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{2,40}(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{2,20})+\b")
-_SECRET = re.compile(r"[A-Za-z0-9_+/=-]{16,200}")
+_SECRET = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
 _NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra)\.? ([A-ZÀ-Þ][a-zß-ÿ]{1,20}(?: [A-ZÀ-Þ][a-zß-ÿ]{1,20})?)")
 _TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Monsieur", "Madame", "Sr")
 #: Gazetteers: given names, top-level domains, prefixes of keys.
@@ -78,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if _DIGIT.search(text) is None:
         return out
     for m in _IP.finditer(text):
-        if all(len(x) < 200 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x) <= 3 and int(x or 0) <= 255 for x in (y.lstrip("0") for y in m[0].split("."))):
             out.append((1, m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() < 40:

@@ -100,3 +100,14 @@ def test_weights_do_not_depend_on_the_size_of_the_corpus(spark):
     for times in (3, 100_000):
         assert np.allclose(once, P.train_classifier(patterns, times * counts), atol=1e-6)
     assert np.allclose(once, P.fit(df.unionAll(df).unionAll(df)), atol=1e-6)
+
+
+def test_long_secrets_and_leading_zeros():
+    r = random.Random(2)
+    for n in (17, 200, 201, 210, 400, 2000):
+        key = "a1" + "".join(r.choice("abcdefghijkLMNOPQRSTUVWXYZ0123456789+/") for _ in range(n - 2))
+        text = f'token "{key}" end'
+        assert P.candidate_spans(text, P.base_spans(text)) == [(5, 7, 7 + n)]
+    for part in ("0" * 250 + "1", "0" * 300, "0" * 300 + "256", "1" * 300, "000255"):
+        text = f"host {part}.2.3.4 up"
+        assert [x for x in P.base_spans(text) if x[0] == 1] == [x for x in brute(text) if x[0] == 1]
