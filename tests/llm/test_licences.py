@@ -81,3 +81,24 @@ def test_against_brute_force(spark):
     assert licence_scan(df.limit(0)).count() == 0
     root = spark.createDataFrame([(1, "LICENSE", "Released under the MIT License."), (2, "a/b", "x")], "file_id long, path string, text string")
     assert {r.licence for r in licence_scan(root).collect()} == {"MIT"}
+
+
+HEADERS = {
+    "// Licensed under the MIT license. See LICENSE file in the project root.": "MIT", "// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+    "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "/* SPDX-License-Identifier: BSD-3-Clause */": "BSD-3-Clause", "SPDX-License-Identifier: MPL-2.0": "MPL-2.0",
+    "SPDX-License-Identifier: LGPL-2.1": "LGPL-2.1", "SPDX-License-Identifier: ISC": "ISC", "SPDX-License-Identifier: EPL-2.0": "EPL-2.0", "SPDX-License-Identifier: MIT OR Apache-2.0": "MIT OR Apache-2.0",
+    "// Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.": "BSD-3-Clause",
+    "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:\n# 1. Redistributions of source code must retain the above copyright\n"
+    "#    notice, this list of conditions and the following disclaimer.\n# 2. Redistributions in binary form must reproduce the above copyright\n#    notice, this list of conditions and the following disclaimer in the\n"
+    "#    documentation and/or other materials provided with the distribution.\nimport os": "BSD-2-Clause",
+    "/*\n * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n"
+    " * version 2.1 of the License, or (at your option) any later version.\n */\nint x;": "LGPL-2.1",
+    "// See LICENSE file in the project root.": "Apache-2.0", "// Licensed under the Frobnicate license. See LICENSE file in the project root.": None, "Licensed under the Frobnicate terms only, licence 7.": None, "nothing": "Apache-2.0",
+}
+
+
+def test_usual_headers(spark):
+    rows = [(0, "t/LICENSE", "Licensed under the Apache License, Version 2.0."), *((i, f"t/src{i}/f.c", h + "\n\n" + "code " * 60) for i, h in enumerate(HEADERS, 1))]
+    got = {r.file_id: r for r in licence_scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert {h: got[i].licence for i, h in enumerate(HEADERS, 1)} == HEADERS
+    assert [got[i].origin for i in range(len(HEADERS) - 3, len(HEADERS) + 1)] == ["inherited", "none", "none", "inherited"]
