@@ -244,15 +244,8 @@ def _block_products(postings: DataFrame, docs: DataFrame, k: int, percent: int)
     return filled.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(tidy(product), "a long, b long")
 
 
-def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of df: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
-
-    Words are runs outside space and \\t to \\r with A-Z lower-cased; a set holds the distinct k-word shingles, of a
-    text with fewer words the whole sequence. Two rows link when 100 |intersection| >= percent |union|. A null or
-    blank text has an empty set and no link. Rows with equal sets are one class, so copies cost one row. Rows that
-    repeat a doc_id must repeat its text; a null doc_id takes no part and keeps a null component. An empty table
-    gives an empty one; other columns are ignored. Set elements are 64-bit hashes.
-    """
+def _incidence(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, ...]:
+    """All rows, those with an id, their sets, the classes of equal sets, and the postings that several classes share."""
     spark = df.sparkSession
     arrow_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -264,6 +257,40 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     postings = classes.select("id", "n", F.explode("prefix").alias("s"))
     hubs = postings.groupBy("s").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
     shared = staged(postings.join(hubs, "s"), "shared")
+    return docs, known, rows, classes, shared
+
+
+def class_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """All links of the join. First a, b with a < b: each pair of classes that links, by the smallest doc_id of each. Then one row per
+    row of df: doc_id, n_shingles, class_id (null where it has no set), n_links, the distinct doc_ids that it links with, copies too.
+
+    No pair is left out because others already join its classes, so the first table has as many rows as there are links."""
+    docs, known, rows, classes, shared = _incidence(df, id_col, text_col, k, percent)
+    found = _block_products(shared.select("s", "id", "n", "hub", F.col("id").alias("c")), known, k, percent)
+    links = staged(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
+    of = rows.where("n > 0").join(classes.select("n", "x", "y", "id"), ["n", "x", "y"])
+    held = staged(of.groupBy("id").agg(F.countDistinct("doc_id").alias("copies")), "copies")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(held.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("near"))
+    per = held.join(near, "id", "left").select("id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    members = (
+        rows.join(classes.select("n", "x", "y", "id"), ["n", "x", "y"], "left").join(per, "id", "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    )
+    blank = docs.where("doc_id IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return links, members.unionByName(blank)
+
+
+def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of df: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    Words are runs outside space and \\t to \\r with A-Z lower-cased; a set holds the distinct k-word shingles, of a
+    text with fewer words the whole sequence. Two rows link when 100 |intersection| >= percent |union|. A null or
+    blank text has an empty set and no link. Rows with equal sets are one class, so copies cost one row. Rows that
+    repeat a doc_id must repeat its text; a null doc_id takes no part and keeps a null component. An empty table
+    gives an empty one; other columns are ignored. Set elements are 64-bit hashes.
+    """
+    docs, known, rows, classes, shared = _incidence(df, id_col, text_col, k, percent)
     size = classes.select("id", "n")
 
     # Beyond its prefix a row of n has ceil(t n) - 1 shingles, so a pair shares at most its overlap within the prefixes

@@ -59,3 +59,39 @@ def test_edges(spark):
     rows = [(1, "a b c d e f", 5), (1, "a b c d e f", 6), (None, "a b c d e f", 7), (2, "a b c d e f", None)]
     got = sorted(map(tuple, ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()), key=str)
     assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 0, None)]
+
+
+def test_all_links_of_classes(spark):
+    import random
+
+    from tessella.llm.ngram_join import class_links
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    data = []
+    for _ in range(4):
+        base = [word() for _ in range(80)]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(r.choice([0, 0, 1, 1, 2])):
+                w[r.randrange(80)] = word()
+            data.append((len(data), " ".join(w)))
+    data += [(900, None), (901, ""), (902, "one two"), (903, "one two"), (3, data[3][1])]
+    sets = {}
+    for i, t in data:
+        w = (t or "").split()
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    near = lambda x, y: bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+    names = sorted((i, s) for s, i in first.items())
+    links, members = class_links(spark.createDataFrame([*data, (None, "no id")], "doc_id long, text string"))
+    got = [(x.a, x.b) for x in links.collect()]
+    want = {(i, j) for i, s in names for j, t in names if i < j and near(s, t)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    rows = members.collect()
+    assert len(rows) == len(data) + 1
+    for x in rows:
+        if x.doc_id is not None:
+            assert x.class_id == (first[sets[x.doc_id]] if sets[x.doc_id] else None) and x.n_links == sum(near(sets[x.doc_id], t) for j, t in sets.items() if j != x.doc_id)
