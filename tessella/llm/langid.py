@@ -1,9 +1,12 @@
 """Operator 9: language identification with a blended-spectrum presence kernel, Nystrom landmarks and kernel ridge regression.
 
 k(x, y) counts the byte n-grams of 1 to 3 bytes that x and y both hold, divided by the geometric mean of what each
-holds. Landmarks are labelled texts, spread over the languages; what is counted are the n-grams that a landmark holds.
+holds. Landmarks are labelled texts, spread over the languages; what is counted are all n-grams that a landmark holds.
 phi(x) = K_mm^(-1/2) k(x, landmarks); one ridge regression per language (that language against the rest) over phi.
 Texts are scored whole in blocks: a presence matrix of texts by n-grams times the landmarks' is one matrix product.
+
+A text is of a language that wasn't learned where hardly any of its n-grams is known from the landmarks; more languages make
+more n-grams known, so none of them costs documents of another.
 """
 
 from __future__ import annotations
@@ -15,8 +18,10 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import arrow_batches, flat, _LOWER, tidy
 
-#: Texts in a block of the presence matrix, and bytes of text in it.
-BLOCK, BLOCK_BYTES = 128, 1 << 20
+#: Texts in a block of the presence matrix, bytes of text in it, and entries of the matrix.
+BLOCK, BLOCK_BYTES, BLOCK_CELLS = 128, 1 << 20, 8 << 20
+#: Bytes of text whose n-grams are looked up at once.
+LOOKED_UP = 4 << 20
 
 
 def _codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,9 +69,8 @@ def _kernel(presence: np.ndarray, landmarks: np.ndarray, norms: np.ndarray) -> n
     return (x @ landmarks).astype(np.float64) / np.maximum(n[:, None] * norms[None, :], 1e-12)
 
 
-def fit(texts: list[str], languages: list[str], landmarks: int = 96, features: int = 6000, ridge: float = 1e-3) -> dict:
-    """Train on a list of labelled texts. landmarks: in all, dealt to the languages in turn; features: the n-grams that
-    the most landmarks hold are kept, at most so many of 3 bytes. Returns what Scorer takes."""
+def fit(texts: list[str], languages: list[str], landmarks: int = 96, ridge: float = 1e-3) -> dict:
+    """Train on a list of labelled texts. landmarks: in all, dealt to the languages in turn, one of each at least. Returns what Scorer takes."""
     names = sorted(set(languages))
     by = {k: [i for i, x in enumerate(languages) if x == k] for k in names}
     chosen = sorted({by[k][j] for k in names for j in range(min(len(by[k]), max(1, landmarks // len(names))))})
@@ -80,13 +84,7 @@ def fit(texts: list[str], languages: list[str], landmarks: int = 96, features: i
     b, row, two, three = _codes(data, off)
     g1 = np.unique(b)
     g2 = np.unique(two[row[:-1] == row[1:]]) if len(two) else np.zeros(0, np.int32)
-    if len(three):
-        same = row[:-2] == row[2:]
-        pairs = np.unique(three[same].astype(np.int64) * len(chosen) + row[:-2][same])
-        g3, held = np.unique(pairs // len(chosen), return_counts=True)
-        g3 = np.sort(g3[np.lexsort((g3, -held))][:features])
-    else:
-        g3 = np.zeros(0, np.int64)
+    g3 = np.unique(three[row[:-2] == row[2:]]) if len(three) else np.zeros(0, np.int32)
     tables = _tables(g1, g2, g3)
     z = _presence(tables, data, off).astype(np.float32).T
     norms = np.sqrt(z.sum(axis=0, dtype=np.float64))
@@ -110,13 +108,29 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.model, self.tables = model, _tables(*model["grams"])
+        self.block = max(1, min(BLOCK, BLOCK_CELLS // max(1, self.tables[2])))
+
+    def known(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Of each text the share of its 3-byte places (of a shorter text: of 2 bytes, of 1) whose n-gram a landmark holds; empty: 0."""
+        n, features, parts = len(off) - 1, self.tables[2], LOOKED_UP
+        held, places = np.zeros((3, n)), np.maximum(np.diff(off)[None, :] - np.arange(3)[:, None], 0)
+        for a in range(0, len(data), parts):  # 3-byte places may reach two bytes beyond a part
+            c, d = (int(np.searchsorted(off, x, "right")) for x in (a, min(len(data), a + parts + 2) - 1))
+            inner = np.clip(off[c - 1 : d + 1] - a, 0, min(len(data), a + parts + 2) - a)
+            b, row, two, three = _codes(data[a : a + parts + 2], inner)
+            for j, (codes, table) in enumerate(((b, self.tables[0]["one"]), (two, self.tables[0]["two"]), (three, self.tables[1]))):
+                same = (row[: len(codes)] == row[j:]) & (np.arange(len(codes)) < parts)
+                held[j, c - 1 : d] += np.bincount(row[: len(codes)][same], weights=table[codes[same]] < features, minlength=d - c + 1)
+        size = np.clip(np.diff(off), 1, 3) - 1
+        at = np.arange(n)
+        return held[size, at] / np.maximum(places[size, at], 1)
 
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Texts x languages; a text longer than a block is a block of its own, read in parts whose presence is joined."""
         m, out, i, n = self.model, [], 0, len(off) - 1
         while i < n:
             j = i + 1
-            while j < n and j - i < BLOCK and off[j + 1] - off[i] <= BLOCK_BYTES:
+            while j < n and j - i < self.block and off[j + 1] - off[i] <= BLOCK_BYTES:
                 j += 1
             if off[j] - off[i] <= BLOCK_BYTES:
                 x = _presence(self.tables, data[off[i] : off[j]], off[i : j + 1] - off[i])
@@ -132,11 +146,12 @@ class Scorer:
 
 def train(labelled: DataFrame, per_language: int = 600, **how) -> dict | None:
     """Fit on about per_language texts of each language of labelled (doc_id, text, lang): those whose hashed doc_id falls
-    below per_language / the language's count. This bound is the documented parameter of the training sample; None without rows."""
+    below per_language / the language's count. This bound is the documented parameter of the training sample; None without rows.
+    A language of one row is learned from that row."""
     rows = labelled.where(F.col("lang").isNotNull() & has_letter("text"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     h = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("h")
-    sample = rows.join(F.broadcast(counts.limit(10_000)), "lang").where(h * F.col("n") < per_language)
+    sample = rows.join(counts, "lang").where(h * F.col("n") < per_language)
     got = sample.select("doc_id", "text", "lang").orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").collect()
     return fit([r.text for r in got], [r.lang for r in got], **how) if got else None
 
@@ -176,21 +191,20 @@ def identify_language(df: DataFrame, model: dict | None, id_col: str = "doc_id",
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), has_letter(text_col).alias("ok")).mapInArrow(tidy(run), schema)
 
 
-def reject_unidentified(df: DataFrame, model: dict | None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows of df, with all their columns, whose language is known: text with a letter and score of min_score at least."""
+def reject_unidentified(df: DataFrame, model: dict | None, min_known: float = 0.1, text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, whose language is known: text with a letter, of whose n-grams the share min_known at least
+    is known to the landmarks. Null, empty and letterless texts go; without a model (no labelled row) all others stay."""
     arrow_batches(df.sparkSession)
-    with_letter = df.where(has_letter(text_col))
-    if min_score <= 0 or model is None:
-        return with_letter
+    if model is None:
+        return df.where(has_letter(text_col))
     at = df.columns.index(text_col)
 
     def run(batches):
         scorer = Scorer(model)
         for b in batches:
-            share = np.clip((scorer.scores(*flat(b.column(at))) + 1) / 2, 0, 1)
-            yield b.filter(pa.array(share.max(axis=1) >= min_score * share.sum(axis=1)))
+            yield b.filter(pa.array(scorer.known(*flat(b.column(at))) >= min_known))
 
-    return with_letter.mapInArrow(tidy(run), df.schema)
+    return df.where(has_letter(text_col)).mapInArrow(tidy(run), df.schema)
 
 
 def language_id(df: DataFrame, per_language: int = 600, **how) -> DataFrame:

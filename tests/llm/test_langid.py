@@ -2,9 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tessella.llm import langid
-from tessella.llm.langid import Scorer, fit, identify_language, language_id
+from tessella.llm.common import flat
+from tessella.llm.langid import Scorer, fit, identify_language, language_id, reject_unidentified, train
 
 SYLLABLES = {"aa": ["the", "th", "ing", "ou"], "bb": ["sch", "ung", "ü", "ein"], "cc": ["ção", "os", "el", "ñ"]}
 
@@ -38,7 +40,7 @@ def test_labels_of_held_out_rows_and_features_are_unused(spark):
 
 def test_kernel_equals_set_overlap():
     texts, langs = [t for _, t, _ in corpus(30)], [x for _, _, x in corpus(30)]
-    model = fit(texts, langs, landmarks=6, features=10**6)
+    model = fit(texts, langs, landmarks=6)
     s = Scorer(model)
     grams = lambda t: {b[i : i + n] for b in [t.encode().lower()] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
     raw = [t.encode() for t in texts]
@@ -66,3 +68,38 @@ def test_edges(spark):
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (900, 901, 902)) and by[903].lang_pred == "aa"
     assert language_id(df.limit(0)).count() == 0
     assert {r.lang_pred for r in identify_language(df, None).collect()} == {"und"}
+
+
+def test_known_share_against_sets(monkeypatch):
+    monkeypatch.setattr(langid, "LOOKED_UP", 50)
+    rows = corpus(40)
+    model = fit([t for _, t, _ in rows], [x for _, _, x in rows], landmarks=6)
+    held = [set(g.tolist()) for g in model["grams"]]
+    texts = ["", "t", "th", "qq", "the", "zzz", "th" + "x" * 200 + "e", *[t for _, t, _ in rows[:20]], "the " * 300]
+
+    def share(t):
+        b = t.encode().lower()
+        n = min(3, len(b))
+        codes = [int.from_bytes(b[i : i + n], "big") for i in range(len(b) - n + 1)] if n else []
+        return sum(c in held[n - 1] for c in codes) / len(codes) if codes else 0.0
+
+    assert np.allclose(Scorer(model).known(*flat(pa.array(texts))), [share(t) for t in texts])
+
+
+def test_more_languages_cost_no_documents(spark):
+    rows = corpus(200)
+    foreign = [(1000, "это совсем другой язык", None), (1001, "这是另一种语言", None)]
+    more = [(2000 + i, f"{chr(0x400 + i)}{chr(0x500 + i)} {chr(0x600 + i)}", f"l{i}") for i in range(30)]  # languages of one row each
+    df = lambda x: spark.createDataFrame(x, "doc_id long, text string, lang string")
+    few = train(df(rows), 60, landmarks=12)
+    many = train(df(rows + more), 60, landmarks=12)
+    assert len(many["languages"]) == 33
+    for model in (few, many):
+        assert {r.doc_id for r in reject_unidentified(df(rows + foreign), model).collect()} == {r[0] for r in rows}
+    assert {r.lang_pred for r in identify_language(df(more), many).collect()} == {f"l{i}" for i in range(30)}
+
+
+def test_ties_go_to_the_first_name(spark):
+    same = [(i, "one text for both", "bb" if i % 2 else "aa") for i in range(20)]
+    got = identify_language(spark.createDataFrame(same, "doc_id long, text string, lang string"), fit(["one text for both"] * 2, ["bb", "aa"]))
+    assert {r.lang_pred for r in got.collect()} == {"aa"}
