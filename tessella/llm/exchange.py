@@ -12,6 +12,8 @@ from tessella.llm.common import tidy
 
 #: Bytes that a task gathers before it sends what it has for its fullest buckets.
 GATHERED = 48_000_000
+#: Bytes of rows in a blob at most, but for a single row: a batch of blobs, which goes to Python at once, is bounded with it.
+BLOB_BYTES = 256_000
 
 
 def packed(table: pa.RecordBatch) -> bytes:
@@ -33,7 +35,8 @@ def send(batches: Iterator[tuple[np.ndarray, pa.RecordBatch]], kind: int = 0) ->
     def flush():
         for bucket in sorted(held):
             t = pa.Table.from_batches(held[bucket]).combine_chunks()
-            for b in t.to_batches():
+            rows = max(1, BLOB_BYTES * t.num_rows // max(1, t.nbytes))
+            for b in t.to_batches(max_chunksize=rows):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([packed(b)], pa.binary())], names=["bucket", "kind", "blob"])
         held.clear()
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import uuid
 from functools import lru_cache
@@ -27,9 +28,12 @@ from tessella.storage import scratch
 ROUNDS = 6
 #: Parts in which the shards are written: disk holds the shuffle of one of them beside the shards.
 WAVES = 2
+#: Sequences in a row of the staged table: a batch of 512 rows is what Python gets at once.
+HELD = 128
 #: Columns of sequences in training order.
 ROWS = "slot long, shard long, byte_offset long, doc_id long, seq_no long, n_tokens int, tokens binary"
-_M32 = np.uint64(0xFFFFFFFF)
+#: Rank of rows without id: before all ids.
+_NO_ID = float("-inf")
 
 
 def _round(x: np.ndarray, key: np.uint64) -> np.ndarray:
@@ -58,6 +62,14 @@ def feistel_slots(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return out
 
 
+def _cut_points(quantiles: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Where buckets end, as ids and shares of the range of hashes: at the end of an id's rows, or, for an id that is several quantiles,
+    after equal shares of its rows as well. Ids beyond 2 ** 53 are not told apart as doubles and not split."""
+    ids, times = np.unique(np.array(quantiles, np.float64), return_counts=True)
+    times = np.where((np.abs(ids) < 2.0**53) | (ids == _NO_ID), times, 1)
+    return np.repeat(ids, times), np.concatenate([np.arange(1, t + 1) / t for t in times] or [np.zeros(0)])
+
+
 @lru_cache(maxsize=2)
 def _tiktoken(path: str):
     import public_tokenizers
@@ -75,7 +87,7 @@ def sequences_in_training_order(
 
     A document's tokens and end_id are cut into sequences of length; tokens holds them as little-endian unsigned 16-bit
     numbers, padded with end_id to the fixed stride 2 * length. Null and empty texts give one sequence of end_id. Numbers
-    follow doc_id (null first), then the text among repeated ids, so that result and slots depend on rows, key and
+    follow doc_id (null first), then the text's hash and the text among repeated ids, which may thus be dealt to several tasks, so that result and slots depend on rows, key and
     length alone. Rows come in slot order within a partition, a shard in one partition. An empty table gives an empty one.
     """
     return _in_waves(df, ranks_path, end_id, length, slots_per_shard, key, id_col, text_col, 1)[0]
@@ -85,21 +97,26 @@ def _in_waves(df: DataFrame, ranks_path: str, end_id: int, length: int, slots_pe
     """The rows of sequences_in_training_order as waves tables of whole shards, so that a table's shuffle can go before the next one's."""
     spark = df.sparkSession
     arrow_batches(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.unique(np.array(docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) or [], np.float64)) if parts > 1 else np.zeros(0)
+    ranked = docs.select(F.coalesce(F.col("doc_id").cast("double"), F.lit(_NO_ID)).alias("x"))
+    cut_ids, cut_shares = _cut_points(ranked.approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else [])
 
     def by_id(batches):
         for b in batches:
-            ids = b.column(0)
-            x = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            yield np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, x.astype(np.float64), "left")), b
+            ids = b.column(0).cast(pa.float64(), safe=False).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+            share = b.column(2).to_numpy().view(np.uint64) / 2.0**64
+            first, last = np.searchsorted(cut_ids, ids, "left"), np.searchsorted(cut_ids, ids, "right")
+            bucket = first.astype(np.int64)
+            for r in np.flatnonzero(last > first):  # the id is a cut: its rows are dealt by their hash
+                bucket[r] += np.searchsorted(cut_shares[first[r] : last[r]], share[r], "right")
+            yield bucket, b
 
     def cut(bucket, tables):
         table = tables[0]
         encoding = _tiktoken(ranks_path)
-        ids, texts = table.column(0).to_pylist(), table.column(1).to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or "", texts[i] is not None))
+        ids, texts, hashes = table.column(0).to_pylist(), table.column(1).to_pylist(), table.column(2).to_numpy().view(np.uint64).tolist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, hashes[i], texts[i] or "", texts[i] is not None))
         number, held = 0, []
 
         def out(begin):
@@ -117,7 +134,7 @@ def _in_waves(df: DataFrame, ranks_path: str, end_id: int, length: int, slots_pe
                 full = np.full(length, end_id, "<u2")
                 full[: len(part)] = part
                 held.append((ids[i], j // length, len(part), full.tobytes()))
-                if len(held) == 1024:
+                if len(held) == HELD:
                     yield out(number)
                     number += len(held)
                     held = []
@@ -161,8 +178,6 @@ def _in_waves(df: DataFrame, ranks_path: str, end_id: int, length: int, slots_pe
                 names=["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "tokens"],
             )
 
-    small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(int(small), 64))
     return [receive(cuts_.mapInArrow(tidy(lambda it, w=w: send(to_slots(it, w))), SENT), in_order, ROWS, parts) for w in range(waves)]
 
 
@@ -178,8 +193,9 @@ def _open_store(path: str):
 
 def write_shards(sequences: DataFrame, path: str, stride: int) -> DataFrame:
     """Write shard-<number>.bin files into path (a folder or URI that all executors reach): slots in order, stride bytes
-    each. A shard is written under another name and renamed when whole; one that is there in full size is left alone, so a job that
-    broke off resumes. Returns shard, slots, file, n_bytes and sha256 of what belongs in it, and by slot doc_ids, seq_nos, n_tokens."""
+    each. A shard is written under another name and renamed when whole; one that is there already is left alone if size and hash are those of
+    its slots, so a job that broke off resumes and nothing of another key, length or corpus stays. A shard's rows must come whole and in slot
+    order in one partition; if not, it is an error. Returns shard, slots, file, n_bytes and sha256, and by slot doc_ids, seq_nos, n_tokens."""
 
     def run(batches):
         from pyarrow import fs
@@ -187,23 +203,34 @@ def write_shards(sequences: DataFrame, path: str, stride: int) -> DataFrame:
         store, root = _open_store(path)
         store.create_dir(root, recursive=True)
 
-        def close(shard, rows):
-            parts = rows["tokens"]
-            file, size = f"{root}/shard-{shard:08d}.bin", sum(map(len, parts))
+        def digest(parts):
+            h = hashlib.sha256()
+            for p in parts:
+                h.update(p)
+            return h.hexdigest()
+
+        def is_there(file, size, sha):
             info = store.get_file_info(file)
             if info.type == fs.FileType.NotFound or info.size != size:
+                return False
+            with store.open_input_stream(file) as f:
+                return digest(iter(lambda: f.read(1 << 20), b"")) == sha
+
+        def close(shard, rows):
+            parts = rows["tokens"]
+            file, size, sha = f"{root}/shard-{shard:08d}.bin", sum(map(len, parts)), digest(parts)
+            if rows["byte_offset"] != list(range(0, size, stride)):
+                raise ValueError(f"the rows of shard {shard} are not whole and in order in one partition")
+            if not is_there(file, size, sha):
                 with store.open_output_stream(temporary := f"{file}.{uuid.uuid4().hex}") as f:
                     for p in parts:
                         f.write(p)
                 store.move(temporary, file)
-            digest = hashlib.sha256()
-            for p in parts:
-                digest.update(p)
             lists = [pa.array([rows[c]], pa.list_(kind)) for c, kind in (("doc_id", pa.int64()), ("seq_no", pa.int64()), ("n_tokens", pa.int32()))]
-            head = [pa.array([x]) for x in (shard, size // stride, file, size, digest.hexdigest())]
+            head = [pa.array([x]) for x in (shard, size // stride, file, size, sha)]
             return pa.RecordBatch.from_arrays([*head, *lists], names=["shard", "slots", "file", "n_bytes", "sha256", "doc_ids", "seq_nos", "n_tokens"])
 
-        names = ("tokens", "doc_id", "seq_no", "n_tokens")
+        names = ("tokens", "byte_offset", "doc_id", "seq_no", "n_tokens")
         now, rows = None, {c: [] for c in names}
         for b in batches:
             shards = b.column(0).to_numpy()
@@ -218,7 +245,7 @@ def write_shards(sequences: DataFrame, path: str, stride: int) -> DataFrame:
         if rows["tokens"]:
             yield close(now, rows)
 
-    return sequences.select("shard", "tokens", "doc_id", "seq_no", "n_tokens").mapInArrow(tidy(run), WRITTEN)
+    return sequences.select("shard", "tokens", "byte_offset", "doc_id", "seq_no", "n_tokens").mapInArrow(tidy(run), WRITTEN)
 
 
 def read_shards(written: DataFrame, path: str, length: int = 512, slots_per_shard: int = 4096) -> DataFrame:
@@ -251,16 +278,37 @@ def training_order(
     df: DataFrame, ranks_path: str, path: str, end_id: int = 50256, length: int = 512, slots_per_shard: int = 4096, key: int = 20240607,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """The whole job: sequences in training order are written to path as shard files, and the rows come from these files."""
+    """The whole job: sequences in training order are written to path as shard files, and the rows come from these files.
+
+    manifest.json beside the shards states key, length, slots and shards; it is written when all shards are whole and removed before
+    any is touched, and files of shards beyond the last, of an earlier and longer job, are removed."""
     spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before, index = spark.conf.get(cleanup, "false"), scratch(spark, "shards")
+    store, root = _open_store(path)
+    store.create_dir(root, recursive=True)
+    _remove_files(store, root, lambda name: name == "manifest.json")
     spark.conf.set(cleanup, "true")  # each plan here runs once: its shuffle goes before the next one writes
     try:
         for sequences in _in_waves(df, ranks_path, end_id, length, slots_per_shard, key, id_col, text_col, WAVES):
             write_shards(sequences, path, 2 * length).write.mode("append").parquet(index)
     finally:
         spark.conf.set(cleanup, before)
-    return read_shards(spark.read.schema(WRITTEN).parquet(index), path, length, slots_per_shard)
+    written = spark.read.schema(WRITTEN).parquet(index)
+    held = written.agg(F.count("*").alias("shards"), F.sum("slots").alias("slots"), F.countDistinct("shard").alias("names"), F.max("shard").alias("last")).first()
+    if held.shards and not held.shards == held.names == held.last + 1:
+        raise RuntimeError("a shard is missing or was written twice")
+    _remove_files(store, root, lambda name: name.startswith("shard-") and (not re.fullmatch(r"shard-[0-9]{8,}\.bin", name) or int(name[6:-4]) >= held.shards))
+    with store.open_output_stream(f"{root}/manifest.json") as f:
+        f.write(json.dumps({"key": key, "length": length, "end_id": end_id, "slots_per_shard": slots_per_shard, "slots": held.slots or 0, "shards": held.shards}).encode())
+    return read_shards(written, path, length, slots_per_shard)
+
+
+def _remove_files(store, root: str, which) -> None:
+    from pyarrow import fs
+
+    for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.type == fs.FileType.File and which(info.base_name):
+            store.delete_file(info.path)
 
 
 def read_slots(spark: SparkSession, path: str, begin: int, count: int, length: int = 512, slots_per_shard: int = 4096) -> list[np.ndarray]:

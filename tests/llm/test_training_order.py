@@ -3,6 +3,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 
 from tessella.llm.training_order import _tiktoken, feistel_slots, read_slots, sequences_in_training_order, training_order, write_shards
 
@@ -25,7 +26,7 @@ def rows():
 
 def brute(data, length, key):
     e, seqs = _tiktoken(RANKS), []
-    for i, t in sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "", x[1] is not None)):
+    for i, t in sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, 42 if x[1] is None else xxhash.xxh64(x[1].encode(), 42).intdigest(), x[1] or "", x[1] is not None)):
         ids = [*e.encode_ordinary(t or ""), 50256]
         for j in range(0, len(ids), length):
             part = ids[j : j + length]
@@ -77,3 +78,38 @@ def test_rows_come_from_the_files(spark, tmp_path):
     with pytest.raises(Exception, match="does not hold its slots"):
         got.collect()
     assert training_order(df.limit(0), RANKS, f"{tmp_path}/none").count() == 0
+
+
+def test_another_key_leaves_no_shard_of_the_first(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame(rows(), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for key, data in ((7, rows()), (8, rows()), (8, rows()[:100])):
+        got = training_order(df if len(data) > 100 else spark.createDataFrame(data, "doc_id long, text string"), RANKS, f"{tmp_path}/shards", length=16, slots_per_shard=50, key=key)
+        want = brute(data, 16, key)
+        assert {g.slot: np.frombuffer(g.tokens, "<u2").tolist() for g in got.collect()} == {s: x[3] for s, x in want.items()}
+        assert [x.tolist() for x in read_slots(spark, f"{tmp_path}/shards", 0, 10**6, 16, 50)] == [want[s][3] for s in range(len(want))]
+        assert len(list((tmp_path / "shards").glob("shard-*"))) == -(-len(want) // 50)
+        assert json.loads((tmp_path / "shards" / "manifest.json").read_text())["slots"] == len(want)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) >= min(512, int(before))
+
+
+def test_a_split_shard_is_an_error(spark, tmp_path):
+    got = sequences_in_training_order(spark.createDataFrame(rows(), "doc_id long, text string"), RANKS, length=16, slots_per_shard=50, key=7)
+    with pytest.raises(Exception, match="not whole"):
+        write_shards(got.repartition(7), f"{tmp_path}/shards", 32).collect()
+
+
+def test_cut_points_split_a_hot_id():
+    from tessella.llm.training_order import _cut_points
+
+    ids, shares = _cut_points([1.0, 5.0, 5.0, 5.0, 9.0])
+    assert ids.tolist() == [1, 5, 5, 5, 9] and np.allclose(shares, [1, 1 / 3, 2 / 3, 1, 1])
+
+
+def test_hot_ids_and_long_texts(spark):
+    data = [(1, f"copy {i % 30}") for i in range(300)] + [(None, "n")] * 40 + [(2, "long " * 30_000)]
+    got = sequences_in_training_order(spark.createDataFrame(data, "doc_id long, text string"), RANKS, length=64, slots_per_shard=50, key=3)
+    want = brute(data, 64, 3)
+    assert {g.slot: (g.doc_id, g.seq_no, g.n_tokens, np.frombuffer(g.tokens, "<u2").tolist()) for g in got.collect()} == want
