@@ -13,6 +13,7 @@ Counts of patterns are gathered over the whole corpus; their number is bounded b
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -99,11 +100,17 @@ def _entropy(s: str) -> float:
 
 def candidate_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of the wider patterns that overlap no base span and no candidate before them."""
-    out, taken = [], sorted((s, e) for _, s, e in base)
+    out, taken = [], []
+    for _, s, e in sorted(base, key=lambda x: x[1:]):  # what base spans cover, as runs that don't touch inside
+        if taken and s < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
 
     def add(kind, s, e):
-        if all(e <= a or s >= b for a, b in taken):
-            taken.append((s, e))
+        i = bisect_right(taken, (s, e))
+        if (i == 0 or taken[i - 1][1] <= s) and (i == len(taken) or e <= taken[i][0]):
+            insort(taken, (s, e))
             out.append((kind, s, e))
 
     if " at " in text and " dot " in text or "[at]" in text or "(at)" in text:
