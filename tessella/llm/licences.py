@@ -103,11 +103,12 @@ def licence_scan(files: DataFrame, threshold: float = 0.45, file_share: float =
     that matches nothing inherits nothing, unless all its notices only point to a licence file.
     Licence files, which give their folder its licence, are files named like one and files whose matching notices hold at least file_share of
     their words; of several in a folder the highest score counts, then the smaller licence, then the smaller path. Null
-    and empty texts have no notice; a null path has no folder and inherits nothing. Repeated rows stay;
-    other columns are ignored; an empty table gives an empty one.
+    and empty texts have no notice; a null path has no folder and inherits nothing. Repeated rows stay and count once; rows that share
+    id and path but not the text are files of their own; other columns are ignored; an empty table gives an empty one.
     """
     spark = files.sparkSession
     docs = files.select(F.col("file_id").cast("long").alias("file_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("version", F.xxhash64("text"))
     named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
     hit = docs.where(F.col("text").rlike(TRIGGER) | (named & (F.col("text") != "")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(TRIGGER))
@@ -117,8 +118,8 @@ def licence_scan(files: DataFrame, threshold: float = 0.45, file_share: float =
     blocks = F.transform(F.filter(joined_, lambda x: x.rlike(TRIGGER) & x.contains("\n")), lambda x: F.regexp_replace(x, r"\n", " "))
     notices = F.when(named, F.array_union(lines, F.array("text"))).otherwise(lines)
     kinds = F.concat(F.transform(notices, lambda x: F.struct(F.lit(0).alias("kind"), x.alias("notice"))), F.transform(blocks, lambda x: F.struct(F.lit(1).alias("kind"), x.alias("notice"))))
-    found = staged(hit.select("file_id", "path", named.alias("named"), F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("n_words"), F.explode(kinds).alias("x"))
-                   .select("file_id", "path", "named", "n_words", "x.kind", "x.notice"), "notices")
+    found = staged(hit.select("file_id", "path", "version", named.alias("named"), F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("n_words"), F.posexplode(kinds).alias("at", "x"))
+                   .select("file_id", "path", "version", "named", "n_words", "at", "x.kind", "x.notice"), "notices")
     units = found.groupBy("notice").agg(F.sum(1 - F.col("kind")).alias("n")).withColumn("unit", F.sha2("notice", 256))
     total = found.where("kind = 0").count()
     seen = units.where("n > 0").select("n", F.explode(F.array_distinct(_terms("notice"))).alias("term")).groupBy("term").agg(F.sum("n").alias("df"))
@@ -141,10 +142,10 @@ def licence_scan(files: DataFrame, threshold: float = 0.45, file_share: float =
     )
     matched = lambda kind: F.sum(F.when(F.col("licence").isNotNull() & (F.col("kind") == kind), F.col("n_terms")).otherwise(0))
     own = (
-        found.join(known, "notice", "left").groupBy("file_id", "path").agg(
+        found.dropDuplicates(["file_id", "path", "version", "at"]).join(known, "notice", "left").groupBy("file_id", "path", "version").agg(
             F.min(F.when(F.col("licence").isNotNull(), F.struct((-F.col("score")).alias("minus"), "licence"))).alias("b"), F.max("named").alias("named"),
             F.greatest(matched(0), matched(1)).alias("n_terms"), F.max("n_words").alias("n_words"), F.max((F.col("kind") == 0) & ~F.col("notice").rlike(POINTER)).alias("stated"))
-        .select("file_id", "path", F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("own_score"), "stated",
+        .select("file_id", "path", "version", F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("own_score"), "stated",
                 (F.col("b").isNotNull() & (F.col("named") | (F.col("n_terms") >= file_share * F.col("n_words")))).alias("gives"))
     )
     own = staged(own, "own")
@@ -156,14 +157,14 @@ def licence_scan(files: DataFrame, threshold: float = 0.45, file_share: float =
     folders = docs.where("path IS NOT NULL").select(folder.alias("folder")).distinct()
     depth = F.size(F.split("folder", "/"))
     up = folders.select("folder", F.explode(F.concat(F.transform(F.sequence(F.lit(1), depth), lambda i: F.array_join(F.slice(F.split("folder", "/"), 1, i), "/")), F.array(F.lit("")))).alias("ancestor"))
-    near = (
+    near = staged(
         up.distinct().join(given.withColumnRenamed("folder", "ancestor"), "ancestor")
-        .groupBy("folder").agg(F.max(F.struct(F.length("ancestor").alias("depth"), "g")).alias("x")).select("folder", "x.g")
-    )
-    ids = F.col("path").eqNullSafe(F.col("own_path")) & F.col("file_id").eqNullSafe(F.col("own_id"))
+        .groupBy("folder").agg(F.max(F.struct(F.length("ancestor").alias("depth"), "g")).alias("x")).select("folder", "x.g"), "near"
+    )  # written, so that the join below has plain sides: a hot folder's files can be split among tasks
+    ids = F.col("path").eqNullSafe(F.col("own_path")) & F.col("file_id").eqNullSafe(F.col("own_id")) & (F.col("version") == F.col("own_version"))
     joined = (
-        docs.select("file_id", "path", folder.alias("folder"))
-        .join(own.select(F.col("file_id").alias("own_id"), F.col("path").alias("own_path"), "own", "own_score", "stated"), ids, "left").join(near, "folder", "left")
+        docs.select("file_id", "path", "version", folder.alias("folder"))
+        .join(own.select(F.col("file_id").alias("own_id"), F.col("path").alias("own_path"), F.col("version").alias("own_version"), "own", "own_score", "stated"), ids, "left").join(near, "folder", "left")
         .withColumn("g", F.when(F.col("own").isNotNull() | ~F.coalesce("stated", F.lit(False)), F.col("g")))
     )
     return joined.select(
