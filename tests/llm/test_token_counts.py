@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 from tessella.llm.common import flat
 from tessella.llm.token_counts import Ledger, count_tokens, word_counts
@@ -50,6 +51,9 @@ def test_ledger_against_replay(spark, tmp_path):
         got = lambda: {(t.source, t.lang, t.tokenizer_version): [t.n_docs, t.n_tokens] for t in ledger.totals().collect()}
         assert got() == dict(want)
         assert not ledger.apply(f"b{batch}", df) and got() == dict(want)
+    ledger.compact()
+    assert got() == dict(want) and not ledger.apply("b1", df) and Ledger(spark, f"{tmp_path}/ledger").batches() == ["b0", "b1", "b2", "b3"]
+    assert {(x.doc_id, x.tokenizer_version): (x.source, x.lang, x.tokens, x.documents) for x in ledger.documents().collect()} == {k: (c[1], c[2], c[4], 1) for k, c in state.items()}
     assert ledger.apply("empty", spark.createDataFrame([], SCHEMA)) and ledger.batches() == ["b0", "b1", "b2", "b3", "empty"]
     assert got() == dict(want) and np.sum([v[0] for v in want.values()]) == len(state)
 
@@ -79,3 +83,34 @@ def test_query_against_replay(spark, tmp_path):
             want[source, lang, v][1] += n
     got = {(t.source, t.lang, t.tokenizer_version): [t.n_docs, t.n_tokens] for t in op6_delta_token_counts(spark, str(tmp_path)).collect()}
     assert got == dict(want)
+
+
+def test_two_writers_and_broken_commits(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/l"
+    a, b = Ledger(spark, root), Ledger(spark, root)
+    one = spark.createDataFrame([(1, "s", "l", "v", 5, "insert")], SCHEMA)
+    assert a.apply("first", one)
+    written = Ledger._written
+
+    def race(self, name, rows):
+        """While b has written its rows and not committed, a commits another batch for the same document, then the same batch."""
+        folder = written(self, name, rows)
+        monkeypatch.setattr(Ledger, "_written", written)
+        assert a.apply(others.pop(0), one if name == "same" else spark.createDataFrame([(1, "t", "l", "v", 7, "revise")], SCHEMA))
+        return folder
+
+    others = ["other"]
+    monkeypatch.setattr(Ledger, "_written", race)
+    assert b.apply("mine", spark.createDataFrame([(1, "u", "l", "v", 9, "revise")], SCHEMA))
+    assert [tuple(x) for x in a.totals().collect()] == [("u", "l", "v", 1, 9)] == [tuple(x) for x in b.totals().collect()]
+    others = ["same"]
+    monkeypatch.setattr(Ledger, "_written", race)
+    assert not b.apply("same", one)
+    assert [tuple(x) for x in b.totals().collect()] == [("s", "l", "v", 1, 5)]
+    for bad in ("", "../x", "a/b", ".hidden"):
+        with pytest.raises(ValueError):
+            a.apply(bad, one)
+    monkeypatch.setattr(Ledger, "WAIT", 0.1)
+    (tmp_path / "l" / "commits" / f"{len(a._commits()):010d}").touch()
+    with pytest.raises(RuntimeError, match="broken off"):
+        a.totals()
