@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +38,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def open_store(path: str):
+    """(file system, path in it) of a folder or file that all machines reach."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path)) if re.match(r"\w+:/", path) else (fs.LocalFileSystem(), path)
+
+
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches of texts small; a setting of the session that changes no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

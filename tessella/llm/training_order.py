@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_batches, tidy
+from tessella.llm.common import arrow_batches, open_store, tidy
 from tessella.llm.exchange import SENT, receive, send
 from tessella.storage import scratch
 
@@ -185,12 +185,6 @@ def _in_waves(df: DataFrame, ranks_path: str, end_id: int, length: int, slots_pe
 WRITTEN = "shard long, slots long, file string, n_bytes long, sha256 string, doc_ids array<long>, seq_nos array<long>, n_tokens array<int>"
 
 
-def _open_store(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if re.match(r"\w+://", path) else (fs.LocalFileSystem(), path)
-
-
 def write_shards(sequences: DataFrame, path: str, stride: int) -> DataFrame:
     """Write shard-<number>.bin files into path (a folder or URI that all executors reach): slots in order, stride bytes
     each. A shard is written under another name and renamed when whole; one that is there already is left alone if size and hash are those of
@@ -200,7 +194,7 @@ def write_shards(sequences: DataFrame, path: str, stride: int) -> DataFrame:
     def run(batches):
         from pyarrow import fs
 
-        store, root = _open_store(path)
+        store, root = open_store(path)
         store.create_dir(root, recursive=True)
 
         def digest(parts):
@@ -254,7 +248,7 @@ def read_shards(written: DataFrame, path: str, length: int = 512, slots_per_shar
     stride = 2 * length
 
     def run(batches):
-        store, root = _open_store(path)
+        store, root = open_store(path)
         for b in batches:
             for r in b.to_pylist():
                 with store.open_input_stream(f"{root}/shard-{r['shard']:08d}.bin") as f:
@@ -284,7 +278,7 @@ def training_order(
     any is touched, and files of shards beyond the last, of an earlier and longer job, are removed."""
     spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before, index = spark.conf.get(cleanup, "false"), scratch(spark, "shards")
-    store, root = _open_store(path)
+    store, root = open_store(path)
     store.create_dir(root, recursive=True)
     _remove_files(store, root, lambda name: name == "manifest.json")
     spark.conf.set(cleanup, "true")  # each plan here runs once: its shuffle goes before the next one writes
@@ -313,7 +307,7 @@ def _remove_files(store, root: str, which) -> None:
 
 def read_slots(spark: SparkSession, path: str, begin: int, count: int, length: int = 512, slots_per_shard: int = 4096) -> list[np.ndarray]:
     """count sequences from slot begin on, read one after the other: what a training process resumes with."""
-    store, root = _open_store(path)
+    store, root = open_store(path)
     out = []
     while len(out) < count:
         shard, at = divmod(begin + len(out), slots_per_shard)
