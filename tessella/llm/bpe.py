@@ -2,17 +2,20 @@
 
 A rolling hash over the last bytes cuts each text where the hash says so, so a passage that several documents
 share falls into the same chunks wherever it stands. A chunk is encoded once and its result reused; what a cut
-tears apart is repaired: the tokens from the last agreement point before the cut to the first one after it are
-dropped and that stretch is encoded anew, over as many chunks as it takes. Agreement points are white space, which
-the vocabulary's normaliser and pre-tokenizer never join across, so the result is that of the whole text.
+tears apart is repaired: the stretch from the last agreement point before the cut to the first one after it, over as many
+chunks as it takes, is encoded anew. Agreement points are white space. That a file's tokens end there is tried out when it is
+loaded, and at each join whose stretch hasn't been met before: the stretch is encoded together with its neighbours, whose tokens
+must come out as they were. Where they don't, the text is encoded as a whole. So the result is always that of the whole text.
 Within a chunk the stretches between agreement points are looked up by the same rule, which makes new chunks cheap.
 
-Reuse is held per Python worker in tables of bounded size; results don't depend on it.
+Reuse is held per Python worker, from one task to the next, in tables of bounded bytes; results don't depend on it.
 """
 
 from __future__ import annotations
 
 import os
+import random
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,8 @@ from tessella.llm.common import arrow_batches, flat, tidy
 
 #: Bytes that the rolling hash sees, bits of it that must be zero at a cut (512 bytes a chunk), least bytes of a chunk.
 ROLL, CUT_BITS, LEAST = 16, 9, 64
-#: What a worker keeps: encoded stretches in two generations of so many entries, and encoded chunks of CHUNK_BYTES of results in all.
-STRETCHES, CHUNK_BYTES = 170_000, 16_000_000
+#: Bytes that a worker keeps, about: encoded stretches and encoded chunks, each in two generations of so many.
+STRETCH_BYTES, CHUNK_BYTES = 50_000_000, 8_000_000
 #: Bytes of results in an Arrow batch.
 OUT_BYTES = 8_000_000
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -50,11 +53,35 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return np.array([*out, n])
 
 
+class Disagreement(Exception):
+    """Tokens around a join came out otherwise than without it."""
+
+
+class Table:
+    """Values by bytes in two generations: when the younger is full, the older one goes. What is an eighth of the limit at once isn't kept."""
+
+    def __init__(self, limit: int):
+        self.limit, self.size, self.young, self.old = limit, 0, {}, {}
+
+    def get(self, key: bytes):
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+        return got
+
+    def put_all(self, values: dict[bytes, tuple], size: int) -> None:
+        if 8 * size > self.limit:
+            return
+        if self.size + size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young.update(values)
+        self.size += size
+
+
 class Encoder:
     """Encodes byte strings with a tokenizers file; keeps what it has seen."""
 
-    def __init__(self, path: str, most: int = STRETCHES):
-        self.most = most
+    def __init__(self, path: str, stretch_bytes: int = STRETCH_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,36 +89,64 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.token = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.stretches: dict[bytes, tuple] = {}
-        self.older: dict[bytes, tuple] = {}
-        self.chunks: dict[bytes, tuple] = {}
-        self.chunk_bytes = 0
+        self.stretches, self.chunks = Table(stretch_bytes), Table(CHUNK_BYTES)
         self.encoded = self.reused = 0
-
-    def learn(self, pieces: list[bytes]) -> None:
-        """Make the stretches known: from the older generation, which is dropped when the younger is full, or by encoding."""
-        new = {p for p in pieces if p and p not in self.stretches}
-        if len(self.stretches) + len(new) > self.most:
-            self.older, self.stretches = self.stretches, {}
-            new = {p for p in pieces if p}
-        known, older = self.stretches, self.older
-        for p in [p for p in new if p in older]:
-            known[p] = older[p]
-            new.discard(p)
-        new = list(new)
+        self.agrees = self._agrees()
+
+    def _agrees(self) -> bool:
+        """Whether white space ends tokens: texts with each kind of it between pieces of the vocabulary have the tokens of the pieces."""
+        r = random.Random(11)
+        pieces = [t.replace("</w>", "") for t in sorted(self.token.values())]
+        pieces = [p for p in pieces if p and not any(c.isspace() for c in p)]
+        for _ in range(300):
+            some = r.sample(pieces, min(4, len(pieces)))
+            gap = [r.choice([" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c", " \n "]) for _ in some]
+            if self._ids("".join(g + p for g, p in zip(gap, some)) + gap[0]) != [i for p in some for i in self._ids(p)]:
+                return False
+        return True
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _value(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join(map(str, ids)), " ".join([self.token[j] for j in ids])
+
+    def whole(self, text: bytes) -> tuple[int, str, str]:
+        return self._value(self._ids(text.decode("utf-8")))
+
+    def words(self, pieces: list[bytes]) -> list[tuple]:
+        """Encodings of stretches that stand between white space."""
+        young = self.stretches.young
+        young[b""] = (0, "", "")
+        try:
+            return [young[p] for p in pieces]
+        except KeyError:
+            pass
+        made = {p: self.stretches.old.get(p) for p in dict.fromkeys(pieces) if p not in young}
+        new = [p for p, v in made.items() if v is None]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in part], add_special_tokens=False)):
-                ids = e.ids
-                known[p] = (len(ids), " ".join(map(str, ids)), " ".join([self.token[j] for j in ids]))
-
-    def stretch(self, piece: bytes) -> tuple:
-        if piece not in self.stretches:
-            self.learn([piece])
-        return self.stretches[piece]
+                made[p] = self._value(e.ids)
+        found = [young.get(p) or made[p] for p in pieces]
+        self.stretches.put_all(made, sum([300 + len(p) + len(v[1]) + len(v[2]) for p, v in made.items()]))
+        return found
+
+    def join(self, before: bytes, torn: bytes, after: bytes) -> tuple:
+        """Encoding of a stretch that was torn by cuts. One that wasn't met before is encoded between the words around it."""
+        got = self.stretches.get(torn)
+        if got is None:
+            ids = self._ids(b" ".join([before, torn, after]).decode("utf-8"))
+            (n, left, _), (m, right, _) = self.words([before, after])
+            if len(ids) < n + m or " ".join(map(str, ids[:n])) != left or " ".join(map(str, ids[len(ids) - m :])) != right:
+                raise Disagreement
+            got = self._value(ids[n : len(ids) - m])
+            self.stretches.put_all({torn: got}, 300 + len(torn) + len(got[1]) + len(got[2]))
+        return got
 
     def chunk(self, raw: bytes) -> tuple:
-        """(stretch before the first agreement point, encoding between, stretch after the last); (raw, None, b"") without one."""
+        """What stands before the first agreement point, the first and last word and the encoding between, and what stands after the
+        last; (raw,) where there is no agreement point."""
         got = self.chunks.get(raw)
         if got is not None:
             self.reused += 1
@@ -99,66 +154,71 @@ class Encoder:
         self.encoded += 1
         pieces = raw.translate(_TO_SPACE).split(b" ")
         if len(pieces) == 1:
-            got = (raw, None, b"")
+            got = (raw,)
         else:
             inner = [p for p in pieces[1:-1] if p]
-            known = self.stretches
-            try:
-                found = [known[p] for p in inner]
-            except KeyError:
-                self.learn(inner)
-                known = self.stretches
-                found = [known[p] for p in inner]
-            found = [f for f in found if f[0]]
-            got = (pieces[0], (sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])), pieces[-1])
-        size = len(raw) + (len(got[1][1]) + len(got[1][2]) if got[1] else 0) + 300
-        self.chunk_bytes += size
-        if self.chunk_bytes > CHUNK_BYTES:
-            self.chunks.clear()
-            self.chunk_bytes = size
-        self.chunks[raw] = got
+            found = [f for f in self.words(inner) if f[0]]
+            ends = (inner[0], inner[-1]) if inner else (b"", b"")
+            got = (pieces[0], *ends, sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found]), pieces[-1])
+        self.chunks.put_all({raw: got}, 300 + len(raw) + (len(got[4]) + len(got[5]) if len(got) > 1 else 0))
         return got
 
     def encode(self, text: bytes) -> tuple[int, str, str]:
         """Number of tokens, decimal ids and tokens, each joined by one space."""
         if not text:
             return 0, "", ""
-        n, ids, toks, torn, begin = 0, [], [], b"", 0
+        if not self.agrees:
+            return self.whole(text)
+        try:
+            return self._chunked(text)
+        except Disagreement:
+            return self.whole(text)
 
-        def add(e):
+    def _chunked(self, text: bytes) -> tuple[int, str, str]:
+        n, ids, toks, torn, before, begin = 0, [], [], [], b"", 0
+
+        def add(k, i, t):
             nonlocal n
-            if e[0]:
-                n += e[0]
-                ids.append(e[1])
-                toks.append(e[2])
+            if k:
+                n += k
+                ids.append(i)
+                toks.append(t)
 
         for end in cuts(np.frombuffer(text, np.uint8)).tolist():
-            head, inner, tail = self.chunk(text[begin:end])
+            got = self.chunk(text[begin:end])
             begin = end
-            torn += head
-            if inner is not None:  # agreement is reached within this chunk: repair the join before it
-                if torn:
-                    add(self.stretch(torn))
-                add(inner)
-                torn = tail
-        if torn:
-            add(self.stretch(torn))
+            torn.append(got[0])
+            if len(got) > 1:  # agreement is reached within this chunk: repair the join before it
+                _, first, last, *inner, tail = got
+                if stretch := b"".join(torn):
+                    add(*self.join(before, stretch, first))
+                    before = stretch
+                add(*inner)
+                before, torn = last or before, [tail]
+        if stretch := b"".join(torn):
+            add(*self.join(before, stretch, b""))
         return n, " ".join(ids), " ".join(toks)
 
 
-def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = STRETCHES) -> DataFrame:
+@lru_cache(maxsize=1)
+def _encoder(path: str, stretch_bytes: int) -> Encoder:
+    """Held by the Python worker, which serves one task after the other."""
+    return Encoder(path, stretch_bytes)
+
+
+def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", stretch_bytes: int = STRETCH_BYTES) -> DataFrame:
     """One row per row: doc_id, n_tokens, ids (decimal, joined by one space), decoded.
 
     ids are those of the tokenizers library on the whole text without special tokens added, decoded is its decode()
     with special tokens kept, for a file without a decoder: tokens joined by one space. Null and empty texts have no tokens and
     empty strings. Repeated rows stay repeated; other columns are ignored; an empty table gives an empty one.
-    most: encoded stretches that a worker keeps in a generation, memory against time.
-    The file's white space must be a boundary of its pre-tokenizer, and all executors must have the file.
+    stretch_bytes: what a worker keeps of encoded stretches in a generation, memory against time.
+    Where white space doesn't end the file's tokens, texts are encoded as wholes. All executors must have the file.
     """
     arrow_batches(df.sparkSession)
 
     def run(batches):
-        encoder = Encoder(tokenizer_path, most)
+        encoder = _encoder(tokenizer_path, stretch_bytes)
         for b in batches:
             data, off = flat(b.column(1))
             raw = data.tobytes()
@@ -195,7 +255,7 @@ def decode_ids(df: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> Data
     df = df.drop("decoded")
 
     def run(batches):
-        token = Encoder(tokenizer_path).token
+        token = _encoder(tokenizer_path, STRETCH_BYTES).token
         for b in batches:
             col = b.column(b.schema.get_field_index(ids_col)).to_pylist()
             text = [" ".join([token[int(i)] for i in (x or "").split(" ") if i and int(i) in token]) for x in col]

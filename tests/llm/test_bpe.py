@@ -54,3 +54,43 @@ def test_edges(spark, schema):
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.count() == 3
     assert encode_documents(df.limit(0), PATH).count() == 0
     assert {tuple(r.ids) for r in token_ids(out).collect()} and decode_ids(out.select("doc_id", "ids"), PATH).where("decoded = 'c</w>'").count() == 1
+
+
+def test_five_megabytes_without_white_space(spark):
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefghij.,") for _ in range(5_000_000))
+    t = Tokenizer.from_file(PATH)
+    got = Encoder(PATH).encode(text.encode())
+    assert got[1] == " ".join(map(str, t.encode(text, add_special_tokens=False).ids))
+
+
+def test_tables_are_bounded_by_bytes(monkeypatch):
+    e = Encoder(PATH, stretch_bytes=100_000)
+    r = random.Random(6)
+    t = Tokenizer.from_file(PATH)
+    for i in range(40):
+        text = " ".join("".join(r.choice("abcdef") for _ in range(r.randint(1, 9))) for _ in range(400)) + " " + "x" * 20_000 * (i % 2)
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert e.encode(text.encode())[:2] == (len(ids), " ".join(map(str, ids)))
+        assert e.stretches.size <= 100_000 and e.chunks.size <= 8_000_000
+    assert all(len(k) < 12_500 for k in (*e.stretches.young, *e.stretches.old))
+
+
+def test_other_files_are_encoded_as_wholes():
+    """The byte-level vocabulary joins a space to the word after it, so white space is no agreement point there."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, t = Encoder(path), Tokenizer.from_file(path)
+    text = "some words,  shared\nby " * 300
+    assert not e.agrees and Encoder(PATH).agrees
+    assert e.encode(text.encode())[1] == " ".join(map(str, t.encode(text, add_special_tokens=False).ids))
+
+
+def test_disagreement_at_a_join(monkeypatch):
+    """Were the words around a join to come out otherwise, the text would be encoded as a whole."""
+    e, t = Encoder(PATH), Tokenizer.from_file(PATH)
+    r = random.Random(12)
+    text = " ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(2000))
+    want = t.encode(text, add_special_tokens=False).ids
+    real, calls = Encoder._ids, []
+    monkeypatch.setattr(Encoder, "_ids", lambda self, x: (calls.append(x), real(self, x))[1][: None if x == text else -1])
+    assert e.encode(text.encode())[1] == " ".join(map(str, want)) and calls[-1] == text and len(calls) > 1
