@@ -22,6 +22,8 @@ from tessella.llm.common import arrow_batches, _BASE, flat, mix, NOT_WORD, tidy,
 #: Bytes of benchmark text that go to the executors in one pass; larger benchmarks take several passes over the corpus.
 BENCHMARK_BYTES = 16_000_000
 _M = (1 << 61) - 1
+#: Pairs of places that are compared at once.
+_PAIRS = 1 << 20
 
 
 def _hashes(tokens: list[int], s: int) -> list[int]:
@@ -53,23 +55,38 @@ def _free(marked: list[bool]) -> list[tuple[int, int]]:
     return runs
 
 
+def _windows(tokens: list, marked: list[bool], s: int) -> dict[int, list[int]]:
+    """Where each hash of s unmarked tokens in a row stands."""
+    out = defaultdict(list)
+    for i, j in _free(marked):
+        for p, h in enumerate(_hashes(tokens[i:j], s)):
+            out[h].append(i + p)
+    return out
+
+
+def _before(tokens: list, marked: list[bool], none: int) -> np.ndarray:
+    """The token before each place; none where it is marked or there is none."""
+    return np.array([none, *(none if m else t for t, m in zip(tokens, marked))], np.int64)
+
+
 def tiles(a: list[int], b: list[int], min_tile: int = 5, start: int = 20) -> list[tuple[int, int, int]]:
     """(position in a, position in b, length) of the greedy tiles of two token lists, longest first; ties to the
     smaller position in a, then in b. None stands in b where nothing may match."""
-    mark_a, mark_b, out = [False] * len(a), [x is None for x in b], []
+    codes: dict = {None: -3}
+    a, b = ([codes.setdefault(t, len(codes)) for t in x] for x in (a, b))
+    mark_a, mark_b, out = [False] * len(a), [x < 0 for x in b], []
     s = max(min_tile, min(start, len(a)))
     while True:
-        table = defaultdict(list)
-        for i, j in _free(mark_a):
-            for p, h in enumerate(_hashes(a[i:j], s)):
-                table[h].append(i + p)
+        table, other = _windows(a, mark_a, s), _windows(b, mark_b, s)
+        before_a, before_b = _before(a, mark_a, -1), _before(b, mark_b, -2)
         found, again = [], 0
-        for i, j in _free(mark_b):
-            for p, h in enumerate(_hashes(b[i:j], s)):
-                for x in table.get(h, ()):
-                    y, k = i + p, 0
-                    if x and y and not mark_a[x - 1] and not mark_b[y - 1] and a[x - 1] == b[y - 1]:
-                        continue  # not maximal: the match that begins before it counts
+        for h in table.keys() & other.keys():
+            xs, ys = np.array(table[h]), np.array(other[h])
+            rows = max(1, _PAIRS // len(ys))
+            for i in range(0, len(xs), rows):  # only a match that isn't part of one that begins before it counts
+                first, second = np.nonzero(before_a[xs[i : i + rows], None] != before_b[ys][None, :])
+                for x, y in zip(xs[i + first].tolist(), ys[second].tolist()):
+                    k = 0
                     while x + k < len(a) and y + k < len(b) and not mark_a[x + k] and not mark_b[y + k] and a[x + k] == b[y + k]:
                         k += 1
                     if k >= s:

@@ -32,7 +32,7 @@ def greedy(a, b, m):
 @given(st.lists(st.integers(0, 2), max_size=30), st.lists(st.integers(0, 2), max_size=30), st.integers(1, 4), st.sampled_from([4, 20]))
 def test_tiles_are_greedy(a, b, m, start):
     want, got = greedy(a, b, m), tiles(a, b, m, start)
-    assert sorted(k for _, _, k in got) == sorted(k for _, _, k in want)
+    assert sorted(got) == sorted(want)
     for x, y, k in got:
         assert a[x : x + k] == b[y : y + k] and k >= m
 
@@ -73,3 +73,39 @@ def test_blocks_and_edges(spark, monkeypatch):
     got = sorted([(x.doc_id or -1, x.item_id, x.n_tiles) for x in contaminated(df, bench).collect()])
     assert got == [(-1, 5, 1), (-1, 6, 1), (1, 5, 1), (1, 5, 1), (1, 6, 1), (1, 6, 1), (4, 5, 1), (4, 6, 1)]
     assert contaminated(df.limit(0), bench).count() == 0 and contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_repeated_tokens():
+    """One token again and again in both: the places that match are many, the tiles few."""
+    assert tiles([7] * 800, [7] * 6000) == [(0, 0, 800)]
+    assert sum(k for _, _, k in tiles([1, 2] * 300, [2, 1] * 500 + [None] + [3] * 500)) == 600
+    got = tiles([1] * 400 + [2] + [1] * 400, [1] * 300 + [3] + [1] * 900)
+    assert sum(k for _, _, k in got) == 800 and got[0] == (0, 301, 400)
+
+
+def test_contaminated_against_brute_force(spark):
+    """Every pair of document and item, tiled by the definition over all tokens."""
+    import re
+
+    r = random.Random(7)
+    item_words = [words(r, r.choice([3, 5, 12, 30])) for _ in range(12)]
+    items = [(i, " ".join(t)) for i, t in enumerate(item_words)] + [(50, "rep " * 20)]
+    docs = []
+    for i in range(60):
+        w = words(r, r.choice([0, 5, 40]))
+        for _ in range(r.randint(0, 4)):
+            t = r.choice(item_words)
+            k = r.randint(0, len(t) - 1)
+            w += t[k : k + r.choice([4, 5, 9, 30])] + words(r, r.randint(0, 2))
+        docs.append((i, ", ".join(w).upper()))
+    docs += [(100, "rep " * 13), (101, "rep " * 11), (102, None), (103, "Rep-" * 300)]
+    tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    want = []
+    for d, text in docs:
+        for n, item in items:
+            a, b = tokens(item), tokens(text)
+            laid = greedy(a, b, 5)
+            if len(a) >= 5 and sum(x[2] for x in laid) >= 0.6 * len(a):
+                want.append((d, n, round(sum(x[2] for x in laid) / len(a), 9), len(laid), max(x[2] for x in laid)))
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_id, round(x.coverage, 9), x.n_tiles, x.longest_tile) for x in got) == sorted(want) and len(want) > 10
