@@ -151,7 +151,8 @@ def train(labelled: DataFrame, per_language: int = 600, **how) -> dict | None:
     rows = labelled.where(F.col("lang").isNotNull() & has_letter("text"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     h = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("h")
-    sample = rows.join(counts, "lang").where(h * F.col("n") < per_language)
+    # a row for each language, of which the model itself holds hundreds of texts: smaller than what the driver trains on
+    sample = rows.join(F.broadcast(counts), "lang").where(h * F.col("n") < per_language)
     got = sample.select("doc_id", "text", "lang").orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").collect()
     return fit([r.text for r in got], [r.lang for r in got], **how) if got else None
 
