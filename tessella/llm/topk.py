@@ -67,27 +67,27 @@ class Reading:
                     self.partial[rows] += self.x[rows, d][:, None] * weights
         self.depth = depth
 
-    def _ends(self) -> tuple[np.ndarray, np.ndarray]:
-        """The values that were read last, from the top and from the bottom."""
-        column = np.arange(self.x.shape[1])
-        return self.x[self.order[-self.depth], column], self.x[self.order[self.depth - 1], column]
-
-    def outsider(self) -> np.ndarray:
-        """The upper bound of a row that no list has shown."""
-        top, bottom = self._ends()
+    def _ends(self, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The values that are read last, from the top and from the bottom, where lists are read to the depth."""
+        column, depth = np.arange(self.x.shape[1]), depth or self.depth
+        return self.x[self.order[-depth], column], self.x[self.order[depth - 1], column]
+
+    def outsider(self, depth: int = 0) -> np.ndarray:
+        """The upper bound of a row that no list has shown down to the depth."""
+        top, bottom = self._ends(depth)
         return self.plus @ top + self.minus @ bottom
 
-    def _with_unread(self, for_plus: np.ndarray, for_minus: np.ndarray) -> np.ndarray:
+    def _with_unread(self, for_plus: np.ndarray, for_minus: np.ndarray, which: np.ndarray) -> np.ndarray:
         n = len(self.x)
         above, below = self.rank < n - self.depth, self.rank >= self.depth
-        return self.partial + above.astype(float) @ (self.plus * for_plus).T + below.astype(float) @ (self.minus * for_minus).T
+        return self.partial[:, which] + above.astype(float) @ (self.plus[which] * for_plus).T + below.astype(float) @ (self.minus[which] * for_minus).T
 
-    def upper(self) -> np.ndarray:
-        return self._with_unread(*self._ends())
+    def upper(self, which: np.ndarray) -> np.ndarray:
+        return self._with_unread(*self._ends(), which)
 
-    def lower(self) -> np.ndarray:
+    def lower(self, which: np.ndarray) -> np.ndarray:
         column = np.arange(self.x.shape[1])
-        return self._with_unread(self.x[self.order[0], column], self.x[self.order[-1], column])
+        return self._with_unread(self.x[self.order[0], column], self.x[self.order[-1], column], which)
 
     def keep(self, which: np.ndarray) -> None:
         """Go on with some of the queries."""
@@ -127,20 +127,24 @@ class Lists:
                 yield i, np.flatnonzero(~own[:, j]), scores[~own[:, j], j]
             return
         reading = Reading(self.x, self.order, self.rank, q[open_])
+        fresh = ~np.isfinite(least[open_])  # no block before has given these a k-th best score: their lower bounds have to
         for step in range(1, STEPS + 1):
             depth = -(-n * step // STEPS)
-            if not len(open_) or depth == reading.depth:
-                continue
+            if not len(open_):
+                break
+            if depth < n and not fresh.any() and not (reading.outsider(depth) < least[open_]).any():
+                continue  # outsiders of all queries can still qualify there: lists are read on without a look at bounds
             reading.read(depth)
             if depth == n:
                 break
-            if step % 4 == 0 and n - 1 > k:
-                lower = np.where(own, -np.inf, reading.lower())
-                least[open_] = np.maximum(least[open_], np.partition(lower, n - k, axis=0)[n - k])
+            if step % 4 == 0 and n - 1 > k and fresh.any():
+                new = np.flatnonzero(fresh)
+                lower = np.where(own[:, new], -np.inf, reading.lower(new))
+                least[open_[new]] = np.maximum(least[open_[new]], np.partition(lower, n - k, axis=0)[n - k])
             at = np.flatnonzero(reading.outsider() < least[open_])
             if not len(at):
                 continue
-            alive = ~own[:, at] & (reading.upper()[:, at] >= least[open_[at]])
+            alive = ~own[:, at] & (reading.upper(at) >= least[open_[at]])
             few = alive.sum(axis=0) <= max(4 * k, n // 64)
             for j in np.flatnonzero(few):
                 rows = np.flatnonzero(alive[:, j])
@@ -149,7 +153,7 @@ class Lists:
             if few.any():
                 left = np.setdiff1d(np.arange(len(open_)), at[few])
                 reading.keep(left)
-                open_, own = open_[left], own[:, left]
+                open_, own, fresh = open_[left], own[:, left], fresh[left]
         for j, i in enumerate(open_):  # all lists were read to their ends: the partial scores are the scores
             self.depths.append(1.0)
             yield i, np.flatnonzero(~own[:, j]), reading.partial[~own[:, j], j].astype(np.int64)

@@ -52,7 +52,7 @@ def test_bounds_hold():
     true = x @ q.T
     for depth in (1, 100, 1500, 2999):
         reading = read_to(x, q, depth)
-        assert (reading.lower() <= true).all() and (reading.upper() >= true).all()
+        assert (reading.lower(np.arange(20)) <= true).all() and (reading.upper(np.arange(20)) >= true).all()
         for j in range(20):
             read = [np.r_[reading.order[3000 - depth :, d]] if q[j, d] > 0 else reading.order[:depth, d] for d in range(6) if q[j, d]]
             unseen = np.setdiff1d(np.arange(3000), np.concatenate(read) if read else [])
