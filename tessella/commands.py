@@ -85,9 +85,7 @@ def feature(spark: SparkSession, project: Project, detector: str = "sift", max_f
     for name, df in (("images", images), ("keypoints", keypoints), ("cameras", cameras)):
         project.write(df, name)
     if detector == "aruco":
-        corners = keypoints.join(images, "image_id").select(F.concat_ws("_", F.col("desc_m.capture_id").cast("string"), F.col("physical").cast("string"), F.col("image_index").cast("string"),
-                  F.col("desc_m.marker_id").cast("string"), F.col("desc_m.corner_index").cast("string")).alias("feature_id"), "image_id", F.col("name").alias("image_name"), F.format_string("%.3f", "x").alias("x"), F.format_string("%.3f", "y").alias("y"))
-        corners.coalesce(1).write.mode("overwrite").csv(str(project.stage_dir("feature") / "corners.csv"), header=True)
+        features.corner_rows(keypoints, images).coalesce(1).write.mode("overwrite").csv(str(project.stage_dir("feature") / "corners.csv"), header=True)
     return _report(project, "feature", {"layout": layout, "detector": detector, "images": images.count(), "keypoints": keypoints.count(), "cameras": cameras.count()})
 
 
@@ -127,8 +125,8 @@ def match(spark: SparkSession, project: Project, pairing: str = "sequential", ma
     pairs = staged(pairs, "candidates")
     found = staged(reconstruct.verified(pairs, keypoints, images, cameras), "verified")
     project.write(found, "pairs")
-    n = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("inliers")), F.lit(0)).alias("m")).first()
-    return _report(project, "match", {"pairing": pairing, "candidates": pairs.count(), "verified": n.n, "matches": n.m})
+    n = viewgraph.pair_counts(found).first()
+    return _report(project, "match", {"pairing": pairing, "candidates": pairs.count(), "verified": n.verified, "matches": n.matches})
 
 
 def known_poses(spark: SparkSession, project: Project, images: DataFrame) -> DataFrame | None:
@@ -137,10 +135,10 @@ def known_poses(spark: SparkSession, project: Project, images: DataFrame) -> Dat
         return None
     rows = [(p["image"], rotation_of(np.array(p["quaternion"], float)).ravel().tolist(), [float(x) for x in p["translation"]], bool(p.get("fixed", False))) for p in project.settings.poses]
     poses = spark.createDataFrame(rows, "name string, rotation array<double>, translation array<double>, fixed boolean")
-    lost = [r.name for r in poses.join(images, "name", "left_anti").collect()]
-    if lost:
+    found, unknown = viewgraph.placed(poses, images)
+    if lost := [r.name for r in unknown.collect()]:
         raise ValueError(f"poses for images that are not there: {lost}")
-    return poses.join(images.select("name", "image_id"), "name").drop("name")
+    return found
 
 
 def map_(spark: SparkSession, project: Project, pipeline: str = "global") -> dict:

@@ -89,17 +89,27 @@ def adjusted(points: DataFrame, problem: Problem, fixed_images=(), refine_camera
             for k, v in sums.items():
                 yield pd.DataFrame({"k1": k[0], "i": int(k[1]), "k2": k[2], "j": int(k[3]), "pos": np.arange(len(v), dtype=np.int32), "v": v})
 
+        if not free:  # all poses and cameras are held: points move by themselves, there is no system to sum
+            return {}, {}, {}, cost if cost is not None else cost_of(points)
         rows = points.mapInPandas(run, BLOCKS).groupBy("k1", "i", "k2", "j", "pos").agg(F.sum("v").alias("v")).toPandas()
-        lhs, rhs, diag, cost = {}, {}, {}, 0.0
+        lhs, rhs, diag, total = {}, {}, {}, 0.0
         for (k1, i, k2, j), g in rows.sort_values("pos").groupby(["k1", "i", "k2", "j"], sort=False):
             v = g.v.to_numpy()
             if k1 == "cost":
-                cost = float(v[0])
+                total = float(v[0])
             elif k2 in "rd":
                 (rhs if k2 == "r" else diag)[k1, i] = v
             else:
                 lhs[k1, i, k2, j] = v.reshape(6 if k1 == "p" else 8, -1)
-        return lhs, rhs, diag, cost
+        return lhs, rhs, diag, total
+
+    def cost_of(table):
+        def run(frames):
+            for f in frames:
+                x, image, point, seen = problem.arrays(f)
+                yield pd.DataFrame({"cost": [bundle.total_cost(*bundle.residuals(problem.models, problem.params, problem.camera_of, problem.rot, problem.trans, x, image, point, seen), o.loss, o.scale)]})
+
+        return table.mapInPandas(run, "cost double").agg(F.sum("cost")).first()[0] or 0.0
 
     def stepped(step, damping):
         new = bundle.moved(problem.params, problem.rot, problem.trans, step)

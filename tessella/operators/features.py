@@ -123,3 +123,11 @@ def tuned_markers(images: DataFrame) -> tuple[markers.MarkerParams, int, int]:
         return default, 0, 0
     _, radius, offset, contrast, gamma = grid[best.cell]
     return replace(default, radius=radius, offset=offset, contrast=contrast, gamma=gamma), best.images, best.markers
+
+
+def corner_rows(keypoints: DataFrame, images: DataFrame) -> DataFrame:
+    """feature_id (capture, camera, image index, marker and corner), image_id, image_name, x, y of marker corners, as they are exported."""
+    parts = ("desc_m.capture_id", "physical", "image_index", "desc_m.marker_id", "desc_m.corner_index")
+    return keypoints.join(images, "image_id").select(
+        F.concat_ws("_", *(F.col(c).cast("string") for c in parts)).alias("feature_id"), "image_id", F.col("name").alias("image_name"),
+        F.format_string("%.3f", "x").alias("x"), F.format_string("%.3f", "y").alias("y"))

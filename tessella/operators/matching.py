@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,35 +25,9 @@ def symmetrised(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i <> j").distinct()
 
 
-def squared_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
-def _mutual(distances: DataFrame, keeps: Column) -> DataFrame:
-    """Rows (image1, image2, k1, k2, d) -> matches. Best and second best per k1 and best per k2 by the partial aggregates
-    min and min_by over (d, index) instead of windows; ties go to the lower index."""
-    best1 = distances.groupBy("image1", "image2", "k1").agg(
-        F.min(F.struct("d", "k2")).alias("b"), F.expr("array_sort(collect_list(d))").alias("ds"))
-    best2 = distances.groupBy("image1", "image2", "k2").agg(F.min(F.struct("d", "k1")).alias("r"))
-    one = best1.select("image1", "image2", "k1", F.col("b.k2").alias("k2"), F.col("b.d").alias("d"), F.coalesce(F.get("ds", F.lit(1)).cast("double"), F.lit(float("inf"))).alias("second"))
-    return one.where(keeps).join(best2.select("image1", "image2", "k2", F.col("r.k1").alias("k1")), ["image1", "image2", "k1", "k2"]).select("image1", "image2", "k1", "k2")
-
-
-def _crossed(pairs: DataFrame, keypoints: DataFrame, distance) -> DataFrame:
-    """Keypoint combinations of the given pairs only: two equality joins on image."""
-    a = keypoints.select(F.col("image").alias("image1"), F.col("kp").alias("k1"), F.col("desc").alias("d1"))
-    b = keypoints.select(F.col("image").alias("image2"), F.col("kp").alias("k2"), F.col("desc").alias("d2"))
-    joined = pairs.select(F.col("i").alias("image1"), F.col("j").alias("image2")).join(a, "image1").join(b, "image2")
-    return joined.select("image1", "image2", "k1", "k2", distance(F.col("d1"), F.col("d2")).alias("d"))
-
-
-def match_float(pairs: DataFrame, keypoints: DataFrame, ratio: float = 0.8) -> DataFrame:
-    """Mutual nearest neighbours under squared L2 with best < ratio^2 * second; a single candidate has no second."""
-    return _mutual(_crossed(pairs, keypoints, squared_l2), F.col("d") < ratio * ratio * F.col("second"))
-
-
 def match_float_products(pairs: DataFrame, keypoints: DataFrame, ratio: float = 0.8, linear: bool = False) -> DataFrame:
-    """As match_float (linear: best < ratio * second, as for bits, whose squared L2 is the Hamming distance), distances of a pair of images as one matrix product; an image's descriptors are one row (a bounded number)."""
+    """Mutual nearest neighbours under squared L2 with best < ratio^2 * second (linear: best < ratio * second, as for bits, whose squared L2 is the
+    Hamming distance); a single candidate has no second. Distances of a pair of images are one matrix product; an image's descriptors are one row (a bounded number)."""
     packed = keypoints.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("kp", "desc"))).alias("k")).select("image", F.col("k.kp").alias("kp"), F.flatten("k.desc").alias("v"))
     a, b = (packed.select(F.col("image").alias(f"image{i}"), F.col("kp").alias(f"kp{i}"), F.col("v").alias(f"v{i}")) for i in (1, 2))
     both = pairs.select(F.col("i").alias("image1"), F.col("j").alias("image2")).repartition("image1", "image2").join(a, "image1").join(b, "image2")
@@ -75,25 +49,7 @@ def match_float_products(pairs: DataFrame, keypoints: DataFrame, ratio: float =
     return both.select("image1", "image2", "kp1", "v1", "kp2", "v2").mapInPandas(run, "image1 long, image2 long, k1 long, k2 long")
 
 
-def match_binary(pairs: DataFrame, keypoints: DataFrame, ratio: float = 0.8) -> DataFrame:
-    """As match_float, by Hamming distance of bigint codes and best < ratio * second."""
-    return _mutual(_crossed(pairs, keypoints, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.col("d") < ratio * F.col("second"))
-
-
-def match_markers(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(kp, capture, marker, corner) on both sides: each left row with the first right row of the same identity."""
-    key = ["capture", "marker", "corner"]
-    first = right.groupBy(*key).agg(F.min("kp").alias("k2"))
-    return left.select(F.col("kp").alias("k1"), *key).join(first, key).select("k1", "k2")
-
-
 def strongest(keypoints: DataFrame, most: int) -> DataFrame:
     """The most keypoints with the highest response per image, ties to the lower index."""
     w = Window.partitionBy("image").orderBy(F.desc("response"), "kp")
     return keypoints.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
-
-
-def nearest_centroid(rows: DataFrame, centroids: list[list[float]], desc: str = "desc") -> DataFrame:
-    """Adds word: the index of the nearest centroid, the lowest on ties; the centroids are a literal of bounded size."""
-    c = F.array(*(F.struct(squared_l2(F.col(desc), F.array(*(F.lit(float(x)) for x in v))).alias("d"), F.lit(i).alias("i")) for i, v in enumerate(centroids)))
-    return rows.withColumn("word", F.array_min(c)["i"])

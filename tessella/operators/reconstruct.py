@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import averaging, bundle, incremental
 from tessella.functions import geometry as G
-from tessella.operators import adjustment, estimation, graph, matching, retrieval
+from tessella.operators import adjustment, estimation, graph, matching, retrieval, viewgraph
 from tessella.operators.tracks import tracks
 from tessella.storage import staged
 
@@ -50,8 +50,7 @@ def verified(pairs: DataFrame, keypoints: DataFrame, images: DataFrame, cameras:
     m = staged(putative(pairs, keypoints, ratio), "matches")
     n = normalised(keypoints, images, cameras)
     marker = keypoints.where("desc_m IS NOT NULL").select(F.col("image_id").alias("image1")).distinct()
-    enough = m.groupBy("image1", "image2").count().where(F.col("count") >= max(min_inliers, 8)).drop("count")
-    m = m.join(enough, ["image1", "image2"])
+    m = m.join(viewgraph.enough_matches(m, min_inliers), ["image1", "image2"])
     a = n.select(F.col("image_id").alias("image1"), F.col("kp").alias("k1"), F.col("nx").alias("x1"), F.col("ny").alias("y1"), F.col("f").alias("f1"))
     b = n.select(F.col("image_id").alias("image2"), F.col("kp").alias("k2"), F.col("nx").alias("x2"), F.col("ny").alias("y2"), F.col("f").alias("f2"))
     full = m.join(marker, "image1", "left_anti").join(a, ["image1", "k1"]).join(b, ["image2", "k2"]).withColumn("threshold", F.lit(threshold_px) * 2 / (F.col("f1") + F.col("f2")))
@@ -121,19 +120,19 @@ def _refinable(images: DataFrame, least: int = 5) -> list:
 
 def wide_enough(points: DataFrame, problem: adjustment.Problem, degrees: float) -> DataFrame:
     """Points that two of their views see under at least the angle."""
-
-    def run(frames):
-        for f in frames:
-            x, image, point, _ = problem.arrays(f)
-            d = -np.einsum("nji,nj->ni", problem.rot[image], problem.trans[image]) - x[point]
-            d /= np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-12)
-            wide = np.zeros(len(x))
-            for k in np.unique(point):
-                v = d[point == k]
-                wide[k] = np.degrees(np.arccos(np.clip((v @ v.T).min(), -1, 1)))
-            yield f[wide >= degrees]
-
-    return points.mapInPandas(run, adjustment.POINTS)
+    c = -np.einsum("nji,nj->ni", problem.rot, problem.trans)
+    centres = points.sparkSession.createDataFrame([(int(k), *map(float, x)) for k, x in zip(problem.image_ids, c)], "image_id long, cx double, cy double, cz double")
+    rays = points.select("point_id", "x", "y", "z", F.explode("views.image_id").alias("image_id")).join(F.broadcast(centres), "image_id")  # MOST_IMAGES rows at most
+    seen = rays_of(rays.withColumnRenamed("point_id", "point"))
+    wide = viewgraph.max_view_angle(seen).where(F.col("widest") >= degrees).select(F.col("point").alias("point_id"))
+    return points.join(wide, "point_id", "left_semi")
+
+
+def rays_of(views: DataFrame) -> DataFrame:
+    """(point, x, y, z, cx, cy, cz) -> point, dx, dy, dz: the unit vector from each point to the camera's centre."""
+    d = [F.col(f"c{a}") - F.col(a) for a in "xyz"]
+    norm = F.greatest(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]), F.lit(1e-12))
+    return views.select("point", *((e / norm).alias(f"d{a}") for a, e in zip("xyz", d)))
 
 
 def incremental_model(images: DataFrame, cameras: DataFrame, keypoints: DataFrame, pairs: DataFrame, known: DataFrame | None = None, pinned=(), options: incremental.Growth = incremental.Growth()):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import vocabulary
+from tessella.storage import staged
 
 
 def histogram(words: DataFrame) -> DataFrame:
@@ -17,24 +18,25 @@ def histogram(words: DataFrame) -> DataFrame:
     return words.groupBy("image", "word").agg(F.count("*").alias("tf"))
 
 
-def document_frequency(words: DataFrame) -> DataFrame:
-    n = words.agg(F.count_distinct("image")).first()[0]
-    return words.groupBy("word").agg(F.count_distinct("image").alias("df")).withColumn("idf", F.log(F.lit(float(max(n, 1))) / F.col("df")))
+def document_frequency(hist: DataFrame) -> DataFrame:
+    """word, df, idf from the histogram, which holds a row for each image and word."""
+    n = hist.agg(F.count_distinct("image")).first()[0]
+    return hist.groupBy("word").agg(F.count("image").alias("df")).withColumn("idf", F.log(F.lit(float(max(n, 1))) / F.col("df")))
 
 
-def tfidf(words: DataFrame) -> DataFrame:
+def tfidf(hist: DataFrame) -> DataFrame:
     """image, word, weight with vectors of length one; an image whose weights are all zero keeps them."""
-    h = histogram(words)
-    total = h.groupBy("image").agg(F.greatest(F.sum("tf"), F.lit(1)).alias("total"))
-    w = h.join(document_frequency(words), "word").join(total, "image").select("image", "word", (F.col("tf") / F.col("total") * F.col("idf")).alias("w"))
+    total = hist.groupBy("image").agg(F.greatest(F.sum("tf"), F.lit(1)).alias("total"))
+    w = hist.join(document_frequency(hist), "word").join(total, "image").select("image", "word", (F.col("tf") / F.col("total") * F.col("idf")).alias("w"))
     norm = w.groupBy("image").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, "image").select("image", "word", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.col("w")).alias("weight"))
 
 
 def most_similar(words: DataFrame, top: int, stop_share: float = 0.8) -> DataFrame:
     """image, other, score, rank: the top images by cosine over shared words that at most ceil(stop_share n) images hold."""
-    n = words.agg(F.count_distinct("image")).first()[0]
-    t = tfidf(words)
+    hist = staged(histogram(words), "histogram")
+    n = hist.agg(F.count_distinct("image")).first()[0]
+    t = staged(tfidf(hist), "weights")
     common = t.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") <= math.ceil(stop_share * n)).select("word")
     t = t.join(common, "word")
     a, b = t.select("word", "image", F.col("weight").alias("w1")), t.select("word", F.col("image").alias("other"), F.col("weight").alias("w2"))
@@ -43,6 +45,23 @@ def most_similar(words: DataFrame, top: int, stop_share: float = 0.8) -> DataFra
     return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def strided(keypoints: DataFrame, stride: int) -> DataFrame:
+    """Every stride-th keypoint of each image, in their order."""
+    place = F.row_number().over(Window.partitionBy("image").orderBy("kp")) - 1
+    return keypoints.withColumn("_n", place).where(F.col("_n") % stride == 0).drop("_n")
+
+
+def worded(keypoints: DataFrame, nodes: list[dict]) -> DataFrame:
+    """image, kp, word by descent through the tree, whose size the training bounds."""
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"image": b.image, "kp": b.kp, "word": vocabulary.words(nodes, np.array(b.desc.tolist(), float))})
+
+    return keypoints.select("image", "kp", "desc").mapInPandas(run, "image long, kp long, word long")
+
+
 def vocabulary_pairs(keypoints: DataFrame, neighbours: int = 10, branching: int = vocabulary.BRANCHING, depth: int = vocabulary.DEPTH) -> DataFrame | None:
     """keypoints (image, kp, desc) -> candidate pairs (i, j), i < j: each image with its most similar ones by visual words.
 
@@ -52,16 +71,9 @@ def vocabulary_pairs(keypoints: DataFrame, neighbours: int = 10, branching: int
     if not sizes.n or sizes.d < sizes.n or sizes.a != sizes.b:
         return None
     stride = max(1, -(-sizes.n // vocabulary.SAMPLE))
-    place = F.row_number().over(Window.partitionBy("image").orderBy("kp")) - 1
-    rows = keypoints.select("image", "kp", "desc", place.alias("_n")).where(F.col("_n") % stride == 0).orderBy("image", "kp").limit(vocabulary.SAMPLE).select("desc").collect()
+    rows = strided(keypoints.select("image", "kp", "desc"), stride).orderBy("image", "kp").limit(vocabulary.SAMPLE).select("desc").collect()
     nodes = vocabulary.train(np.array([r.desc for r in rows], float), branching, depth)
-
-    def run(batches):
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"image": b.image, "word": vocabulary.words(nodes, np.array(b.desc.tolist(), float))})
-
-    found = most_similar(keypoints.select("image", "desc").mapInPandas(run, "image long, word long"), neighbours)
+    found = most_similar(worded(keypoints, nodes).select("image", "word"), neighbours)
     return found.select(F.least("image", "other").alias("i"), F.greatest("image", "other").alias("j")).distinct()
 
 

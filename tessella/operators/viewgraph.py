@@ -16,18 +16,6 @@ def degree(edges: DataFrame) -> DataFrame:
     return both_directions(edges).groupBy("i").agg(F.count("*").alias("degree"))
 
 
-def triplet_votes(edges: DataFrame, tolerance: float) -> DataFrame:
-    """edges (i < j, angle) -> i, j, good, bad, valid, validated: triangles whose loop angle stays within tolerance are
-    good for their three edges; an edge with bad ones only is invalid, one without a triangle stays valid."""
-    e = edges.select("i", "j", "angle")
-    ab, bc, ac = (e.select(F.col("i").alias(p), F.col("j").alias(q), F.col("angle").alias(p + q)) for p, q in (("a", "b"), ("b", "c"), ("a", "c")))
-    tri = ab.join(bc, "b").join(ac, ["a", "c"]).withColumn("ok", (F.abs(F.col("ab") + F.col("bc") - F.col("ac")) <= tolerance).cast("long"))
-    votes = tri.select(F.explode(F.array(*(F.struct(F.col(p).alias("i"), F.col(q).alias("j"), "ok") for p, q in (("a", "b"), ("b", "c"), ("a", "c"))))).alias("v")).select("v.*")
-    counts = votes.groupBy("i", "j").agg(F.sum("ok").alias("good"), F.sum(1 - F.col("ok")).alias("bad"))
-    out = e.join(counts, ["i", "j"], "left").select("i", "j", F.coalesce("good", F.lit(0).cast("long")).alias("good"), F.coalesce("bad", F.lit(0).cast("long")).alias("bad"))
-    return out.withColumn("valid", ~((F.col("bad") > 0) & (F.col("good") == 0))).withColumn("validated", F.col("good") > 0)
-
-
 def covisible(observations: DataFrame, top: int = 6) -> DataFrame:
     """image, other, shared, rank: the images that share the most points, ties to the lower image."""
     o = observations.select("image", "point").distinct()
@@ -58,8 +46,12 @@ def mean_error_weighted(points: DataFrame) -> DataFrame:
 
 
 def max_view_angle(rays: DataFrame) -> DataFrame:
-    """(point, image, angle) -> point, widest: the largest difference of viewing angles of a track of two images and more."""
-    return rays.groupBy("point").agg(F.count_distinct("image").alias("n"), (F.max("angle") - F.min("angle")).alias("widest")).where("n >= 2")
+    """(point, dx, dy, dz: unit vector towards the camera of a view) -> point, n, widest: the largest angle in degrees between two rays of a track
+    of two views and more. A track has a view an image, so its row is bounded."""
+    tracks = rays.groupBy("point").agg(F.collect_list(F.array("dx", "dy", "dz")).alias("v")).where(F.size("v") >= 2)
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    least = F.array_min(F.transform("v", lambda a: F.array_min(F.transform("v", lambda b: dot(a, b)))))
+    return tracks.select("point", F.size("v").cast("long").alias("n"), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), least)))).alias("widest"))
 
 
 def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -84,3 +76,23 @@ def allocated(names: DataFrame, known: DataFrame) -> DataFrame:
     top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()[0]
     new = names.join(known, "name", "left_anti").select("name", (F.lit(top) + F.row_number().over(Window.orderBy("name"))).cast("long").alias("id"))
     return names.join(known, "name").select("name", F.col("id").cast("long").alias("id")).unionByName(new)
+
+
+def placed(poses: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """poses by image name -> poses with image_id, and the names that no image has."""
+    return poses.join(images.select("name", "image_id"), "name").drop("name"), poses.join(images, "name", "left_anti").select("name")
+
+
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """One row: pairs, and matches in all."""
+    return pairs.agg(F.count("*").alias("verified"), F.coalesce(F.sum(F.size("inliers")), F.lit(0)).cast("long").alias("matches"))
+
+
+def enough_matches(matches: DataFrame, min_inliers: int) -> DataFrame:
+    """image1, image2 of the pairs that can hold a pose: max(min_inliers, 8) matches and more."""
+    return matches.groupBy("image1", "image2").count().where(F.col("count") >= max(min_inliers, 8)).drop("count")
+
+
+def between(pairs: DataFrame, image1: int, image2: int) -> DataFrame:
+    """The rows of a pair, in whichever order its images are named: pairs are kept with the smaller id first."""
+    return pairs.where((F.col("image1") == min(image1, image2)) & (F.col("image2") == max(image1, image2)))

@@ -7,12 +7,16 @@ documents give words, pages paths, events JSON and captures.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import bundle, kernels, markers
 from tessella.functions import geometry as G
-from tessella.operators import graph, matching, retrieval, viewgraph
-from tessella.sources import colmap
+from tessella.operators import features, graph, matching, reconstruct, retrieval, viewgraph
+from tessella.sources import colmap, dataset
+from tessella.storage import staged
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -93,23 +97,30 @@ def match_float_mnn_ratio(s, d):
     return matching.match_float_products(all_pairs(s, d), keypoints(s, d), 0.95)
 
 
-def _codes(kp):
-    bit = F.aggregate(F.sequence(F.lit(0), F.lit(61)), F.lit(0).cast("long"), lambda a, i: a * 2 + F.when(F.get("desc", i) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    return kp.withColumn("desc", bit)
+NO_DESC = {"desc_f": "array<double>", "desc_b": "array<long>", "desc_m": "struct<capture_id:long,marker_id:int,corner_index:int>"}
+
+
+def _described(kp, **given):
+    """Keypoints as the engine takes them: image_id, kp and one of the three descriptors."""
+    return kp.select(F.col("image").alias("image_id"), "kp", *(given[n].cast(t).alias(n) if n in given else F.lit(None).cast(t).alias(n) for n, t in NO_DESC.items()))
+
+
+def _code():
+    return F.aggregate(F.sequence(F.lit(0), F.lit(61)), F.lit(0).cast("long"), lambda a, i: a * 2 + F.when(F.get("desc", i) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
 
 
 @query(_match_sql("bit_count(xor(a.c, b.c))", 0.95).replace(KP, KP.replace("kp AS (", "k0 AS (", 1) + ", kp AS (SELECT image, kp, CAST(list_sum(list_transform(range(1, 63), lambda i: CASE WHEN v[i] > 0 THEN CAST(pow(2, 62 - i) AS BIGINT) ELSE 0 END)) AS BIGINT) AS c FROM k0)"))
 def match_binary_hamming(s, d):
-    return matching.match_binary(all_pairs(s, d), _codes(keypoints(s, d)), 0.95)
+    return reconstruct.putative(all_pairs(s, d), _described(keypoints(s, d), desc_b=F.array(_code())), 0.95)
 
 
 MARK = "m AS (SELECT l_suppkey % 6 AS image, l_linenumber % 3 AS capture, l_partkey % 50 AS marker, l_orderkey % 4 AS corner, min(l_orderkey * 10 + l_linenumber) AS kp FROM lineitem GROUP BY ALL)"
 
 
-@query(f"WITH {MARK}, r AS (SELECT capture, marker, corner, min(kp) AS k2 FROM m WHERE image = 1 GROUP BY ALL) SELECT CAST(m.kp AS BIGINT) AS k1, CAST(k2 AS BIGINT) AS k2 FROM m JOIN r USING (capture, marker, corner) WHERE image = 0")
+@query(f"WITH {MARK}, r AS (SELECT capture, marker, corner, min(kp) AS k2 FROM m WHERE image = 1 GROUP BY ALL) SELECT CAST(0 AS BIGINT) AS image1, CAST(1 AS BIGINT) AS image2, CAST(m.kp AS BIGINT) AS k1, CAST(k2 AS BIGINT) AS k2 FROM m JOIN r USING (capture, marker, corner) WHERE image = 0")
 def match_marker_identity(s, d):
     m = table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 6).alias("image"), (F.col("l_linenumber") % 3).alias("capture"), (F.col("l_partkey") % 50).alias("marker"), (F.col("l_orderkey") % 4).alias("corner")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("kp"))
-    return matching.match_markers(m.where("image = 0"), m.where("image = 1"))
+    return reconstruct.putative(s.createDataFrame([(0, 1)], "i long, j long"), _described(m, desc_m=F.struct("capture", "marker", "corner")))
 
 
 @query(f"WITH {KP}, r AS (SELECT image, kp, v[1] AS response, row_number() OVER (PARTITION BY image ORDER BY v[1] DESC, kp) AS n FROM kp) SELECT image, kp, response FROM r WHERE n <= 10")
@@ -126,7 +137,9 @@ WORD = WORD.replace("arg_min(w, (d, w))", "first(w ORDER BY d, w)")
 
 
 def _words(s, d):
-    return matching.nearest_centroid(keypoints(s, d), _centroids(s, d)).select("image", "kp", "word")
+    c = np.array(_centroids(s, d))
+    nodes = [{"centres": c, "children": list(range(1, len(c) + 1))}, *({"word": i} for i in range(len(c)))]  # a tree of one level
+    return retrieval.worded(keypoints(s, d), nodes).withColumn("word", F.col("word").cast("int"))
 
 
 @query(f"WITH {WORD} SELECT image, kp, CAST(word AS INTEGER) AS word FROM words")
@@ -144,6 +157,10 @@ def _text_words(s, d):
     return table(s, d, "documents").select(F.col("doc_id").alias("image"), F.explode(F.split("text", " ")).alias("word"))
 
 
+def _text_histogram(s, d):
+    return staged(retrieval.histogram(_text_words(s, d)), "histogram")
+
+
 @query(f"WITH {TEXT}, {HIST} SELECT image, word, tf FROM h")
 def word_histogram(s, d):
     return retrieval.histogram(_text_words(s, d))
@@ -151,12 +168,12 @@ def word_histogram(s, d):
 
 @query(f"WITH {TEXT}, {HIST} SELECT word, df, round(idf, 6) AS idf FROM df")
 def document_frequency(s, d):
-    return retrieval.document_frequency(_text_words(s, d)).select("word", "df", r6(F.col("idf"), "idf"))
+    return retrieval.document_frequency(_text_histogram(s, d)).select("word", "df", r6(F.col("idf"), "idf"))
 
 
 @query(f"WITH {TEXT}, {TFIDF} SELECT image, word, round(weight, 6) AS weight FROM t")
 def tfidf_normalised(s, d):
-    return retrieval.tfidf(_text_words(s, d)).select("image", "word", r6(F.col("weight"), "weight"))
+    return retrieval.tfidf(_text_histogram(s, d)).select("image", "word", r6(F.col("weight"), "weight"))
 
 
 @query(f"""WITH {WORD}, {TFIDF}, u AS (SELECT * FROM t WHERE word IN (SELECT word FROM t GROUP BY word HAVING count(*) <= ceil(0.8 * (SELECT n FROM n)))),
@@ -197,8 +214,14 @@ SELECT id, model,
   ELSE p[2] * b * t * (1 + p[5] * t ** 2 + p[6] * t ** 4 + p[7] * t ** 6 + p[8] * t ** 8) / r + p[4] END, 5) AS v FROM q""")
 def camera_project(s, d):
     both = _points(s, d).join(F.broadcast(_cameras(s)), F.lit(True))  # six cameras
-    u, v = G.project(F.col("model"), F.col("p"), F.col("x"), F.col("y"), F.col("z"))
-    return both.select("id", "model", F.round(u, 5).alias("u"), F.round(v, 5).alias("v"))
+
+    def run(frames):
+        for f in frames:
+            for model, g in f.groupby("model"):
+                pixel = bundle.project(model, np.array(g.p.iloc[0]), g[["x", "y", "z"]].to_numpy(), False)
+                yield pd.DataFrame({"id": g.id, "model": model, "u": pixel[:, 0], "v": pixel[:, 1]})
+
+    return both.mapInPandas(run, "id long, model string, u double, v double").select("id", "model", F.round("u", 5).alias("u"), F.round("v", 5).alias("v"))
 
 
 @query(f"""WITH {CAM_SQL} SELECT model, CAST(list_position(['SIMPLE_PINHOLE','PINHOLE','SIMPLE_RADIAL','RADIAL','OPENCV','OPENCV_FISHEYE'], model) - 1 AS INTEGER) AS model_id,
@@ -267,9 +290,12 @@ def reprojection_measures(s, d):
 @query(f"""WITH {PTS}, l AS (SELECT id, x, y, x/z + 0.1 AS x2, y/z AS y2 FROM pts), m AS (SELECT id, -y + 0.3 AS a0, x - 0.2 AS a1, 0.2*y - 0.3*x AS a2, -0.3 + y2 AS b0, 0.2 - x2 AS b1, x2, y2 FROM l)
 SELECT id, CASE WHEN a0*a0+a1*a1+b0*b0+b1*b1 < 1e-12 THEN 1.7976931348623157e308 ELSE round((x2*a0+y2*a1+a2)**2 / (a0*a0+a1*a1+b0*b0+b1*b1), 6) END AS sampson FROM m""")
 def sampson_distance(s, d):
-    f = [F.lit(v) for v in (0.0, -1.0, 0.3, 1.0, 0.0, -0.2, -0.3, 0.2, 0.0)]
-    x, y, z = F.col("x"), F.col("y"), F.col("z")
-    return _points(s, d).select("id", r6(G.sampson_distance(f, x, y, x / z + 0.1, y / z), "sampson"))
+    def run(frames):
+        for f in frames:
+            x, y, z = f[["x", "y", "z"]].to_numpy().T
+            yield pd.DataFrame({"id": f.id, "sampson": kernels.sampson(np.array([[0, -1, 0.3], [1, 0, -0.2], [-0.3, 0.2, 0]]), np.c_[x, y], np.c_[x / z + 0.1, y / z])})
+
+    return _points(s, d).mapInPandas(run, "id long, sampson double").select("id", r6(F.col("sampson"), "sampson"))
 
 
 # --- errors and weights ----------------------------------------------------------------------------------------------
@@ -282,9 +308,16 @@ def observations(s, d):
 
 @query("SELECT l_linenumber, round(sum(CASE WHEN r <= 2 THEN 1 ELSE 2 / r END), 3) AS huber, round(sum(1 / (1 + (r / 2) ** 2)), 3) AS cauchy, round(sum(r * r * CASE WHEN r <= 2 THEN 1 ELSE 2 / r END), 2) AS cost FROM (SELECT l_linenumber, l_quantity / 10 AS r FROM lineitem) GROUP BY ALL")
 def robust_weights_and_cost(s, d):
-    r = F.col("l_quantity") / 10
-    return table(s, d, "lineitem").groupBy("l_linenumber").agg(F.round(F.sum(G.robust_weight(r, "huber")), 3).alias("huber"), F.round(F.sum(G.robust_weight(r, "cauchy")), 3).alias("cauchy"),
-                                                             F.round(F.sum(r * r * G.robust_weight(r, "huber")), 2).alias("cost"))
+    def run(frames):
+        for f in frames:
+            e = np.c_[f.r, np.zeros(len(f))]
+            for n, g in f.groupby("n"):
+                own = e[f.n.to_numpy() == n]
+                yield pd.DataFrame({"n": [n], "huber": bundle.weights(own, "huber", 2.0).sum(), "cauchy": bundle.weights(own, "cauchy", 2.0).sum(), "cost": bundle.total_cost(own, np.ones(len(own), bool), "huber", 2.0)})
+
+    rows = table(s, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("n"), (F.col("l_quantity") / 10).cast("double").alias("r"))
+    sums = rows.mapInPandas(run, "n long, huber double, cauchy double, cost double").groupBy(F.col("n").alias("l_linenumber"))
+    return sums.agg(F.round(F.sum("huber"), 3).alias("huber"), F.round(F.sum("cauchy"), 3).alias("cauchy"), F.round(F.sum("cost"), 2).alias("cost"))
 
 
 @query("SELECT round(coalesce(sum(e * n) / sum(n), 0), 4) AS mean_error FROM (SELECT l_partkey, avg(l_discount) AS e, count(*) AS n FROM lineitem GROUP BY 1)")
@@ -293,20 +326,22 @@ def mean_reprojection_weighted(s, d):
     return viewgraph.mean_error_weighted(p).select(F.round("mean_error", 4).alias("mean_error"))
 
 
-@query("SELECT l_partkey AS point, round(coalesce(avg(CASE WHEN l_tax > 0 THEN l_discount END), 0), 6) AS error FROM lineitem GROUP BY 1")
-def per_point_error(s, d):
-    return table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("point")).agg(r6(F.coalesce(F.avg(F.when(F.col("l_tax") > 0, F.col("l_discount"))), F.lit(0.0)), "error"))
-
-
 @query("SELECT o_custkey AS camera, list_sort(list(o_totalprice))[len(list(o_totalprice)) // 2 + 1] AS median FROM orders GROUP BY 1")
 def upper_median_depth(s, d):
     return viewgraph.medians(table(s, d, "orders"), "o_custkey", "o_totalprice").withColumnRenamed("o_custkey", "camera")
 
 
-@query("SELECT point, n, round(widest, 6) AS widest FROM (SELECT l_partkey AS point, count(DISTINCT l_suppkey % 20) AS n, max(l_discount) - min(l_discount) AS widest FROM lineitem GROUP BY 1) WHERE n >= 2")
+CENTRES = "image * 0.3::DOUBLE AS cx, image % 3 * 0.5::DOUBLE AS cy, -1 - image % 4 * 0.25::DOUBLE AS cz"
+
+
+@query(f"""WITH {OBS}, {PTS}, v AS (SELECT point, image, cx - x AS a, cy - y AS b, cz - z AS c FROM (SELECT point, image, x, y, z, {CENTRES} FROM o JOIN pts ON id = point)),
+u AS (SELECT point, image, a / sqrt(a * a + b * b + c * c) AS a, b / sqrt(a * a + b * b + c * c) AS b, c / sqrt(a * a + b * b + c * c) AS c FROM v)
+SELECT l.point, count(DISTINCT l.image) AS n, round(max(degrees(acos(least(1, greatest(-1, l.a * r.a + l.b * r.b + l.c * r.c))))), 4) AS widest FROM u l JOIN u r ON l.point = r.point AND l.image <> r.image GROUP BY 1""")
 def max_view_angle_per_track(s, d):
-    o = table(s, d, "lineitem").select((F.col("l_suppkey") % 20).alias("image"), F.col("l_partkey").alias("point"), F.col("l_discount").alias("angle"))
-    return viewgraph.max_view_angle(o).select("point", "n", r6(F.col("widest"), "widest"))
+    i = F.col("image")
+    views = observations(s, d).distinct().join(_points(s, d).withColumnRenamed("id", "point"), "point")
+    centred = views.withColumns({"cx": i * 0.3, "cy": i % 3 * 0.5, "cz": -1 - i % 4 * 0.25})
+    return viewgraph.max_view_angle(reconstruct.rays_of(centred)).select("point", "n", F.round("widest", 4).alias("widest"))
 
 
 # --- view graph ------------------------------------------------------------------------------------------------------
@@ -329,9 +364,12 @@ def _edges(s, d):
     return table(s, d, "orders").where(a != b).select(F.least(a, b).alias("i"), F.greatest(a, b).alias("j")).distinct()
 
 
-@query(f"WITH {EDGE}, g AS (SELECT i, j, (i * 7 + j * 3) % 11 AS angle FROM e), t AS (SELECT x.i AS a, x.j AS b, y.j AS c, CAST(abs(x.angle + y.angle - z.angle) <= 3 AS BIGINT) AS ok FROM g x JOIN g y ON y.i = x.j JOIN g z ON z.i = x.i AND z.j = y.j), v AS (SELECT a AS i, b AS j, ok FROM t UNION ALL SELECT b, c, ok FROM t UNION ALL SELECT a, c, ok FROM t), n AS (SELECT i, j, sum(ok) AS good, sum(1 - ok) AS bad FROM v GROUP BY ALL) SELECT g.i, g.j, CAST(coalesce(good, 0) AS BIGINT) AS good, CAST(coalesce(bad, 0) AS BIGINT) AS bad, NOT (coalesce(bad, 0) > 0 AND coalesce(good, 0) = 0) AS valid, coalesce(good, 0) > 0 AS validated FROM g LEFT JOIN n ON g.i = n.i AND g.j = n.j")
+@query(f"WITH {EDGE}, g AS (SELECT i, j, (i * 7 + j * 3) % 11 AS angle FROM e), t AS (SELECT x.i AS a, x.j AS b, y.j AS c, CAST(abs(x.angle + y.angle - z.angle) <= 4 AS INTEGER) AS ok FROM g x JOIN g y ON y.i = x.j JOIN g z ON z.i = x.i AND z.j = y.j), v AS (SELECT a AS i, b AS j, ok FROM t UNION ALL SELECT b, c, ok FROM t UNION ALL SELECT a, c, ok FROM t), n AS (SELECT i, j, max(ok) AS good FROM v GROUP BY ALL) SELECT g.i AS image1, g.j AS image2, CASE WHEN good = 1 THEN 0 WHEN good IS NULL THEN 1 END AS rank FROM g LEFT JOIN n ON g.i = n.i AND g.j = n.j")
 def triplet_votes(s, d):
-    return viewgraph.triplet_votes(_edges(s, d).withColumn("angle", (F.col("i") * 7 + F.col("j") * 3) % 11), 3.0)
+    """Rotations about one axis, so that the loop of a triangle turns by the sum of its angles."""
+    a, o = F.radians((F.col("i") * 7 + F.col("j") * 3) % 11), F.lit(0.0)
+    r = F.array(F.cos(a), -F.sin(a), o, F.sin(a), F.cos(a), o, o, o, F.lit(1.0))
+    return reconstruct.triplet_ranks(_edges(s, d).select(F.col("i").alias("image1"), F.col("j").alias("image2"), r.alias("rotation")), 4.5).drop("rotation")
 
 
 @query(f"WITH {EDGE} SELECT i AS image, count(*) AS degree FROM (SELECT i, j FROM e UNION ALL SELECT j, i FROM e) GROUP BY 1")
@@ -353,9 +391,10 @@ def connected_components(s, d):
     return _components(s, d)
 
 
-@query(f"{CC} SELECT CAST(component AS BIGINT) AS component, count(*) AS images FROM comp GROUP BY 1 ORDER BY images DESC, component DESC LIMIT 1")
+@query(f"{CC} SELECT CAST(id AS BIGINT) AS image_id FROM comp WHERE component = (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component DESC LIMIT 1)")
 def largest_component(s, d):
-    return _components(s, d).groupBy("component").agg(F.count("*").alias("images")).orderBy(F.desc("images"), F.desc("component")).limit(1)
+    k = F.col("s_suppkey")
+    return reconstruct.largest_component(table(s, d, "supplier").where("s_suppkey % 4 <> 0").select(k.alias("image1"), (k * 3 % 101).alias("image2")))
 
 
 @query("WITH p AS (SELECT s_nationkey AS i, s_suppkey % 40 + 25 AS j, s_suppkey % 13 AS inliers, s_suppkey AS pos FROM supplier) SELECT i, j, inliers, pos FROM p WHERE (i % 2 = 0) <> (j % 2 = 0) AND NOT (i = 2 AND j = 31) ORDER BY inliers DESC, pos DESC LIMIT 1")
@@ -373,9 +412,9 @@ def merge_captures(s, d):
     return viewgraph.merged_captures(k)
 
 
-@query("SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) - 1 AS image_index FROM supplier")
+@query("SELECT concat('cam', s_nationkey, '/', s_name, '.jpg') AS name, CAST(0 AS BIGINT) AS capture_id, CAST(s_nationkey AS BIGINT) AS camera_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) - 1 AS image_index FROM supplier")
 def image_index_by_camera(s, d):
-    return table(s, d, "supplier").select("s_suppkey", "s_nationkey", (F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_name")) - 1).cast("long").alias("image_index"))
+    return dataset.discover(table(s, d, "supplier").select(F.concat(F.lit("cam"), F.col("s_nationkey").cast("string"), F.lit("/"), F.col("s_name"), F.lit(".jpg")).alias("name")))[0]
 
 
 @query("SELECT c_name AS name, CAST(coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_custkey END, (SELECT max(c_custkey) FROM customer WHERE c_custkey % 2 = 0) + row_number() OVER (PARTITION BY c_custkey % 2 ORDER BY c_name)) AS BIGINT) AS id FROM customer")
@@ -386,7 +425,7 @@ def allocate_ids(s, d):
 
 @query(f"WITH {KP} SELECT image, kp FROM kp WHERE kp % 7 = 0")
 def stride_sample(s, d):
-    return keypoints(s, d).where("kp % 7 = 0").select("image", "kp")
+    return retrieval.strided(keypoints(s, d), 7).select("image", "kp")
 
 
 GLOBS = [(0, "*1", 1, False), (1, "*2?", 2, True), (2, "*", 3, True)]
@@ -408,16 +447,22 @@ def glob_pinned_cameras(s, d):
     return table(s, d, "supplier").join(_globs(s), F.rlike("s_name", G.glob_regex(F.col("pattern"))) & ~F.col("refine"), "left_semi").select(F.col("s_nationkey").alias("camera")).distinct()
 
 
-@query("SELECT c_custkey AS image, o_orderkey AS pose FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) ON c_custkey = o_custkey")
-def known_pose_left_join(s, d):
-    known = table(s, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("pose"))
-    return table(s, d, "customer").join(known, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("image"), "pose")
+NAMED = "poses AS (SELECT printf('Customer#%09d', o_custkey) AS name, min(o_orderkey) AS pose FROM orders GROUP BY 1)"
+
+
+def _placed(s, d):
+    poses = table(s, d, "orders").groupBy(F.format_string("Customer#%09d", "o_custkey").alias("name")).agg(F.min("o_orderkey").alias("pose"))
+    return viewgraph.placed(poses, table(s, d, "customer").where("c_nationkey < 20").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("image_id")))
+
 
+@query(f"WITH {NAMED} SELECT c_custkey AS image_id, pose FROM poses JOIN customer ON c_name = name WHERE c_nationkey < 20")
+def known_pose_join(s, d):
+    return _placed(s, d)[0].select("image_id", "pose")
 
-@query("SELECT DISTINCT o_custkey AS missing FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)")
+
+@query(f"WITH {NAMED} SELECT name FROM poses WHERE name NOT IN (SELECT c_name FROM customer WHERE c_nationkey < 20)")
 def unknown_pose_anti(s, d):
-    c = table(s, d, "customer").where("c_nationkey < 20")
-    return table(s, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select(F.col("o_custkey").alias("missing")).distinct()
+    return _placed(s, d)[1]
 
 
 @query("SELECT p_partkey AS id, p_size + 100 AS v FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, p_size FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0")
@@ -432,14 +477,33 @@ def path_functions(s, d):
                                        G.is_image_file(F.replace(F.col("url"), F.lit(".html"), F.lit(".JPG"))).alias("image"))
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT l_suppkey % 20) AS images, count(DISTINCT l_partkey) AS points, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem")
+def _line_matches(s, d):
+    return table(s, d, "lineitem").select((F.col("l_suppkey") % 20).alias("image1"), (F.col("l_linenumber") + 20).alias("image2"), F.col("l_orderkey").alias("k1"), F.col("l_partkey").alias("k2"))
+
+
+@query("SELECT count(*) AS verified, CAST(sum(n) AS BIGINT) AS matches FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey % 20, l_linenumber)")
 def stage_report_counts(s, d):
-    return table(s, d, "lineitem").agg(F.count("*").alias("rows"), F.count_distinct(F.col("l_suppkey") % 20).alias("images"), F.count_distinct("l_partkey").alias("points"), F.sum("l_linenumber").alias("total"))
+    return viewgraph.pair_counts(_line_matches(s, d).groupBy("image1", "image2").agg(F.collect_list(F.struct("k1", "k2")).alias("inliers")))
 
 
-@query("SELECT l_suppkey % 20 AS image FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) >= greatest(15, 8)")
+@query("SELECT l_suppkey % 20 AS image1, l_linenumber + 20 AS image2 FROM lineitem GROUP BY ALL HAVING count(*) >= 40")
 def verify_gate_counts(s, d):
-    return observations(s, d).groupBy("image").agg(F.count_distinct("point").alias("n")).where("n >= greatest(15, 8)").select("image")
+    return viewgraph.enough_matches(_line_matches(s, d), 40)
+
+
+@query("SELECT concat_ws('_', l_linenumber, l_suppkey % 20 % 5, l_suppkey % 20, l_partkey, l_orderkey % 4) AS feature_id, l_suppkey % 20 AS image_id, concat('i', l_suppkey % 20) AS image_name, printf('%.3f', l_quantity) AS x, printf('%.3f', l_discount) AS y FROM lineitem")
+def marker_corner_rows(s, d):
+    i = F.col("l_suppkey") % 20
+    kp = table(s, d, "lineitem").select(i.alias("image_id"), F.struct(F.col("l_linenumber").alias("capture_id"), F.col("l_partkey").alias("marker_id"), (F.col("l_orderkey") % 4).alias("corner_index")).alias("desc_m"), F.col("l_quantity").cast("double").alias("x"), F.col("l_discount").cast("double").alias("y"))
+    images = s.range(20).select(F.col("id").alias("image_id"), (F.col("id") % 5).alias("physical"), F.col("id").alias("image_index"), F.concat(F.lit("i"), F.col("id").cast("string")).alias("name"))
+    return features.corner_rows(kp, images)
+
+
+@query(f"WITH {PTS} SELECT id AS kp, round((100 * x - 320) / 800, 6) AS nx, round((100 * y - 240) / 810, 6) AS ny, 805.0::DOUBLE AS f FROM pts")
+def normalised_keypoints(s, d):
+    kp = _points(s, d).select(F.lit(1).alias("image_id"), F.col("id").alias("kp"), (F.col("x") * 100).alias("x"), (F.col("y") * 100).alias("y"))
+    cams = s.createDataFrame([(7, "PINHOLE", CAMERAS["PINHOLE"])], "camera_id long, model string, params array<double>")
+    return reconstruct.normalised(kp, s.createDataFrame([(1, 7)], "image_id long, camera_id long"), cams).select("kp", r6(F.col("nx"), "nx"), r6(F.col("ny"), "ny"), "f")
 
 
 # --- text formats ----------------------------------------------------------------------------------------------------
@@ -461,7 +525,13 @@ def colmap_points_lines(s, d):
 @query("SELECT p_partkey AS id, round(abs((0 * 3 - p_size * 0) + (p_size * 2 - p_size * 3) * 0 + p_size * (p_size % 7 + 1) * 2) / 2.0::DOUBLE, 6) AS area FROM part")
 def polygon_area(s, d):
     w, h, o = F.col("p_size").cast("double"), (F.col("p_size") % 7 + 1).cast("double"), F.lit(0.0)
-    return table(s, d, "part").select(F.col("p_partkey").alias("id"), r6(G.polygon_area(F.array(o, w, w, o), F.array(o, o, h, h)), "area"))
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"id": f.id, "area": [abs(markers.area(np.array([a, b]).T)) for a, b in zip(f["xs"], f["ys"])]})
+
+    p = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.array(o, w, w, o).alias("xs"), F.array(o, o, h, h).alias("ys"))
+    return p.mapInPandas(run, "id long, area double").select("id", r6(F.col("area"), "area"))
 
 
 def _rotated(c):
@@ -475,8 +545,3 @@ def dictionary_rotations_match(s, d):
     for i in range(3):
         t = t.withColumn(f"c{i + 1}", G.rotate_code(F.col(f"c{i}")))
     return t.select("id", F.least(*(F.bit_count(F.col(f"c{i}").bitwiseXOR(F.lit(21930))) for i in range(4))).alias("hamming"))
-
-
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(TRY_CAST(json_extract_string(props, '$.w') AS DOUBLE), 1.2) AS w FROM events")
-def nerf_defaults_coalesce(s, d):
-    return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.get_json_object("props", "$.w").try_cast("double"), F.lit(1.2)).alias("w"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions import bundle
-from tessella.operators import adjustment, estimation
+from tessella.functions import bundle, kernels, markers
+from tessella.operators import adjustment, estimation, reconstruct
 from tessella.plans.catalog import query, r6, table
 from tessella.sources import dataset
 
@@ -80,24 +81,32 @@ def bundle_adjust(s, d):
     images = s.createDataFrame([(0, 1, np.eye(3).ravel().tolist(), [0.0] * 3), (1, 1, r.ravel().tolist(), t.tolist())], "image_id long, camera_id long, rotation array<double>, translation array<double>")
     moved = _scene(s, d).select(F.col("id").alias("point_id"), (F.col("x") + 0.02 * F.sin(F.col("id") * 2.1)).alias("x"), (F.col("y") - 0.02 * F.cos(F.col("id") * 1.7)).alias("y"), (F.col("z") + 0.05 * F.sin(F.col("id") * 0.9)).alias("z"))
     obs = v.select(F.col("point").alias("point_id"), F.col("image").alias("image_id"), F.lit(0).alias("kp"), (700 * F.col("x") + 320).alias("x"), (700 * F.col("y") + 240).alias("y"))
-    points, _, _ = adjustment.adjusted(adjustment.with_views(moved, obs), adjustment.Problem(cams, images), fixed_images=[0, 1], options=bundle.Options(iterations=3, loss="none"))
+    points, _, _ = adjustment.adjusted(adjustment.with_views(moved, obs), adjustment.Problem(cams, images), fixed_images=[0, 1], options=bundle.Options(iterations=6, loss="none"))
     return points.select(F.col("point_id").alias("point"), *(F.round(c, 3).alias(c) for c in "xyz"))
 
 
 @query("WITH c AS (SELECT l_suppkey % 20 AS image, avg(l_quantity) AS cx, avg(l_extendedprice) AS cy FROM lineitem GROUP BY 1), m AS (SELECT l_suppkey % 20 AS image, avg(sqrt((l_quantity - cx) * (l_quantity - cx) + (l_extendedprice - cy) * (l_extendedprice - cy))) AS m FROM lineitem JOIN c ON l_suppkey % 20 = image GROUP BY 1) SELECT image, round(cx, 4) AS cx, round(cy, 4) AS cy, round(1e6 * sqrt(2) / m, 4) AS scale FROM c JOIN m USING (image)")
 def hartley_normalise(s, d):
-    k = table(s, d, "lineitem").select((F.col("l_suppkey") % 20).alias("image"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
-    c = k.groupBy("image").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    m = k.join(c, "image").groupBy("image", "cx", "cy").agg(F.avg(F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)).alias("m"))
-    return m.select("image", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), F.round(1e6 * F.sqrt(F.lit(2.0)) / F.col("m"), 4).alias("scale"))
+    k = table(s, d, "lineitem").select((F.col("l_suppkey") % 20).alias("image"), F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+
+    def run(g):
+        _, t = kernels.hartley(g[["x", "y"]].to_numpy())
+        return pd.DataFrame({"image": [g.image.iloc[0]], "cx": [-t[0, 2] / t[0, 0]], "cy": [-t[1, 2] / t[1, 1]], "scale": [1e6 * t[0, 0]]})
+
+    return k.groupBy("image").applyInPandas(run, "image long, cx double, cy double, scale double").select("image", *(F.round(c, 4).alias(c) for c in ("cx", "cy", "scale")))
 
 
 @query("WITH q AS (SELECT p_partkey AS id, i, CASE WHEN i IN (1, 2) THEN p_size ELSE 0 END AS x, CASE WHEN i IN (0, 1) THEN p_size % 7 + 1 ELSE 0 END AS y, p_size AS w, p_size % 7 + 1 AS h FROM part, (SELECT unnest([0, 1, 2, 3]) AS i)) SELECT id, list(i ORDER BY atan2(y - h / 2.0, x - w / 2.0), i) AS corners FROM q GROUP BY 1")
 def corner_angle_order(s, d):
     w, h, o = F.col("p_size").cast("double"), (F.col("p_size") % 7 + 1).cast("double"), F.lit(0.0)
     xs, ys = (o, w, w, o), (h, h, o, o)
-    at = F.array(*(F.struct(F.atan2(y - h / 2, x - w / 2).alias("a"), F.lit(i).alias("i")) for i, (x, y) in enumerate(zip(xs, ys))))
-    return table(s, d, "part").select(F.col("p_partkey").alias("id"), F.transform(F.array_sort(at), lambda e: e["i"]).alias("corners"))
+
+    def run(frames):
+        for f in frames:
+            corners = [np.array([a, b]).T for a, b in zip(f["xs"], f["ys"])]
+            yield pd.DataFrame({"id": f.id, "corners": [[c.tolist().index(p) for p in markers.by_angle(c).tolist()] for c in corners]})
+
+    return table(s, d, "part").select(F.col("p_partkey").alias("id"), F.array(*xs).alias("xs"), F.array(*ys).alias("ys")).mapInPandas(run, "id long, corners array<int>")
 
 
 @query("WITH n AS (SELECT DISTINCT s_name AS name FROM supplier), p AS (SELECT name, CAST(nullif(regexp_extract(name, '([0-9]+)$', 1), '') AS BIGINT) AS v, row_number() OVER (ORDER BY name) - 1 AS o FROM n) SELECT name, CASE WHEN (SELECT count(*) = count(DISTINCT v) FROM p) THEN v ELSE o END AS id FROM p")
@@ -105,22 +114,14 @@ def ids_from_names(s, d):
     return dataset.numbered(table(s, d, "supplier").select(F.col("s_name").alias("name")).distinct(), [], "name", "id")
 
 
-@query("SELECT concat_ws('_', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS feature_id, count(*) AS n FROM lineitem GROUP BY 1")
-def feature_id_concat(s, d):
-    return table(s, d, "lineitem").groupBy(F.concat_ws("_", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))).alias("feature_id")).agg(F.count("*").alias("n"))
-
-
-@query("WITH c AS (SELECT s_nationkey AS model, s_suppkey AS id, s_acctbal AS v FROM supplier), g AS (SELECT a.model, abs(a.v - b.v) AS gap FROM c a JOIN c b ON a.model = b.model AND a.id < b.id) SELECT model, round(list_sort(list(gap))[len(list(gap)) // 2 + 1], 6) AS baseline FROM g GROUP BY 1")
-def median_baseline(s, d):
-    c = table(s, d, "supplier").select(F.col("s_nationkey").alias("model"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("v"))
-    o = c.select("model", F.col("id").alias("other"), F.col("v").alias("u"))
-    gap = c.join(o, "model").where("id < other").select("model", F.abs(F.col("v") - F.col("u")).alias("gap"))
-    w = Window.partitionBy("model").orderBy("gap")
-    n = gap.groupBy("model").agg(F.count("*").alias("n"))
-    return gap.withColumn("at", F.row_number().over(w)).join(n, "model").where("at = n div 2 + 1").select("model", r6(F.col("gap"), "baseline"))
-
-
-@query("WITH e AS (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) SELECT event_id, round(k * 2, 6) AS twice, k IS NOT NULL AS given FROM e")
-def json_params(s, d):
-    k = F.from_json("props", "k double")["k"]
-    return table(s, d, "events").select("event_id", r6(k * 2, "twice"), k.isNotNull().alias("given"))
+@query(f"WITH {SCENE} SELECT row_number() OVER (ORDER BY id) AS point_id, round(x, 6) AS x, round((5 * (id % 5))::DOUBLE, 6) AS error, CAST(2 AS BIGINT) AS views FROM scene")
+def assembled_points(s, d):
+    """Views that are off by 3 and 4 times a small number: the mean error of a point is 5 times it."""
+    r, t = _pose()
+    cams = s.createDataFrame([(1, "SIMPLE_PINHOLE", 640, 480, [700.0, 320.0, 240.0])], "camera_id long, model string, width int, height int, params array<double>")
+    images = s.createDataFrame([(0, 1, "a", np.eye(3).ravel().tolist(), [0.0] * 3), (1, 1, "b", r.ravel().tolist(), t.tolist())], "image_id long, camera_id long, name string, rotation array<double>, translation array<double>")
+    off = F.col("point") % 5
+    kp = _views(s, d).select(F.col("point").alias("point_id"), F.col("image").alias("image_id"), F.col("point").cast("int").alias("kp"), (700 * F.col("x") + 320 + 3 * off).alias("x"), (700 * F.col("y") + 240 - 4 * off).alias("y"))
+    points = adjustment.with_views(_scene(s, d).withColumnRenamed("id", "point_id"), kp)
+    found = reconstruct.assembled(images.drop("rotation", "translation"), cams, kp.drop("point_id"), points, adjustment.Problem(cams, images))[2]
+    return found.select("point_id", r6(F.col("x"), "x"), r6(F.col("error"), "error"), F.size("track").cast("long").alias("views"))

@@ -1,9 +1,22 @@
+import numpy as np
+
 from tessella.operators import matching
 from tessella.plans import catalog
 
 
-def test_both_matchers_agree(spark):
+def test_matches_against_brute_force(spark):
     d = "/root/testdata/sf0.001"
     pairs, kp = catalog.all_pairs(spark, d), catalog.keypoints(spark, d)
+    by = {}
+    for r in kp.collect():
+        by.setdefault(r.image, {})[r.kp] = np.array(r.desc)
     for ratio in (0.8, 0.95, 2.0):
-        assert sorted(map(tuple, matching.match_float(pairs, kp, ratio).collect())) == sorted(map(tuple, matching.match_float_products(pairs, kp, ratio).collect()))
+        want = set()
+        for i, j in map(tuple, pairs.collect()):
+            k1, k2 = sorted(by[i]), sorted(by[j])
+            dist = np.array([[((by[i][a] - by[j][b]) ** 2).sum() for b in k2] for a in k1])
+            for x, row in enumerate(dist):
+                y, second = int(row.argmin()), np.sort(row)[1] if len(row) > 1 else np.inf
+                if row[y] < ratio * ratio * second and int(dist[:, y].argmin()) == x:
+                    want.add((i, j, k1[x], k2[y]))
+        assert set(map(tuple, matching.match_float_products(pairs, kp, ratio).collect())) == want
