@@ -203,6 +203,8 @@ def detect(img: np.ndarray, params: MarkerParams = MarkerParams()) -> list[tuple
                 p = np.rint(mapped(h, np.c_[c + dx, r + dy])).astype(int)
                 v += img[np.clip(p[:, 1], 0, img.shape[0] - 1), np.clip(p[:, 0], 0, img.shape[1] - 1)]
         light = v > (v.min() + v.max()) / 2
+        if not light.any():
+            continue  # a plain dark square, like a single cell of a marker, holds no code
         border = (r == 0) | (c == 0) | (r == CELLS - 1) | (c == CELLS - 1)
         if (~light[border]).mean() < params.min_border:
             continue

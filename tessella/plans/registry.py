@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import kernels  # noqa: F401  (registers its queries)
+from tessella.plans import engines, kernels  # noqa: F401  (register their queries)
 from tessella.plans.catalog import ORACLE, QUERIES
 
 FLAGSHIP = "match_float_mnn_ratio"
