@@ -16,7 +16,7 @@ from tessella.functions import geometry as G
 from tessella.functions.averaging import rotation_of
 from tessella.functions.incremental import Growth
 from tessella.operators import features, matching, reconstruct, retrieval, viewgraph
-from tessella.sources import colmap, dataset, nerf
+from tessella.sources import colmap, dataset, models, nerf
 from tessella.sources.project import Project
 from tessella.storage import staged
 
@@ -59,8 +59,11 @@ def _with_cameras(spark: SparkSession, project: Project, images: DataFrame) -> t
     return keyed.drop("model", "params").join(both.select(*key, F.col("id").alias("camera_id")), key), cameras
 
 
-def feature(spark: SparkSession, project: Project, detector: str = "sift", max_features: int | None = None, find_params: bool = False, merge_multicaps: bool = False, model: str | None = None) -> dict:
-    """Finds images and their keypoints; images that are there already keep their ids and get new keypoints."""
+def feature(spark: SparkSession, project: Project, detector: str = "sift", max_features: int | None = None, find_params: bool = False, merge_multicaps: bool = False, model: str | None = None, model_sha256: str | None = None) -> dict:
+    """Finds images and their keypoints; images that are there already keep their ids and get new keypoints. model: path or URL of a learned
+    detector's file, kept in the project's cache and compared with model_sha256."""
+    if model:
+        model = models.cached(model, str(project.root / "cache" / "models"), model_sha256)
     where, layout = dataset.discover(dataset.list_files(spark, str(project.images_dir)))
     pixels = dataset.read_images(spark, str(project.images_dir)).join(where.withColumnRenamed("camera_id", "physical"), "name")
     old = project.read(spark, "images", "feature") if project.has("images") else None
@@ -248,7 +251,7 @@ def main(argv: list[str] | None = None) -> None:
     matcher = ("--matcher", {"default": "mnn-ratio", "choices": ["mnn-ratio", "lightglue"]})
     pipeline = ("--pipeline", {"default": "global", "choices": ["global", "incremental"]})
     flag = {"action": "store_true"}
-    stage("feature", detector, ("--aruco-dict", {}), ("--max-features", {"type": int}), ("--find-params", flag), ("--merge-multicaps", flag), ("--gpu", flag), ("--model", {}), aliases=["extract"])
+    stage("feature", detector, ("--aruco-dict", {}), ("--max-features", {"type": int}), ("--find-params", flag), ("--merge-multicaps", flag), ("--gpu", flag), ("--model", {}), ("--model-sha256", {}), aliases=["extract"])
     stage("match", pairing, matcher, ("--window", {"type": int, "default": 10}), ("--gpu", flag))
     stage("map", pipeline)
     stage("refine", ("--robust-loss", {"default": "huber", "choices": ["huber", "cauchy"]}), ("--refine-intrinsics", flag))

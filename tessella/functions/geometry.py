@@ -57,25 +57,6 @@ def opencv_distortion(model: Column, params: Column) -> Column:
     return F.array(*(param(model, params, *n) for n in (("k1", "k"), ("k2",), ("p1",), ("p2",), ("k3",), ("k4",))))
 
 
-def project(model: Column, params: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column]:
-    """Pixel of a point in camera space by the row's model."""
-    a, b = x / z, y / z
-    r2 = a * a + b * b
-    k1, k2, k3, k4 = (param(model, params, *n) for n in (("k1", "k"), ("k2",), ("k3",), ("k4",)))
-    p1, p2 = param(model, params, "p1"), param(model, params, "p2")
-    radial = 1.0 + k1 * r2 + k2 * r2 * r2
-    r = F.greatest(F.sqrt(r2), F.lit(1e-12))
-    t = F.atan(r)
-    t2 = t * t
-    bent = t * (1.0 + k1 * t2 + k2 * t2 * t2 + k3 * t2 * t2 * t2 + k4 * t2 * t2 * t2 * t2)
-    scale = bent / r
-    fish = model == "OPENCV_FISHEYE"
-    u = F.when(fish, a * scale).otherwise(a * radial + 2.0 * p1 * a * b + p2 * (r2 + 2.0 * a * a))
-    v = F.when(fish, b * scale).otherwise(b * radial + p1 * (r2 + 2.0 * b * b) + 2.0 * p2 * a * b)
-    (fx, fy), (cx, cy) = focal_lengths(model, params), principal_point(model, params)
-    return fx * u + cx, fy * v + cy
-
-
 def default_params(model: str, width: Column, height: Column) -> Column:
     """First guess: focal length 1.2 times the longer side, principal point in the centre, no distortion."""
     f = F.greatest(width, height) * 1.2
@@ -112,15 +93,6 @@ def nerf_c2w(q, t) -> list[list[Column]]:
     return [[r[0][i], -r[1][i], -r[2][i], c[i]] for i in range(3)]
 
 
-def sampson_distance(f: list[Column], x1, y1, x2, y2) -> Column:
-    """f: row-major fundamental matrix; the largest double where the denominator is below 1e-12."""
-    l2 = [f[3 * i] * x1 + f[3 * i + 1] * y1 + f[3 * i + 2] for i in range(3)]
-    l1 = [f[i] * x2 + f[3 + i] * y2 + f[6 + i] for i in range(2)]
-    e = x2 * l2[0] + y2 * l2[1] + l2[2]
-    d = l2[0] * l2[0] + l2[1] * l2[1] + l1[0] * l1[0] + l1[1] * l1[1]
-    return F.when(d < 1e-12, F.lit(1.7976931348623157e308)).otherwise(e * e / d)
-
-
 def reprojection_error_normalized(pc, u: Column, v: Column) -> Column:
     """Distance in normalised units; null at or behind the camera."""
     return F.when(pc[2] > DEPTH_EPS, F.sqrt((pc[0] / pc[2] - u) ** 2 + (pc[1] / pc[2] - v) ** 2))
@@ -134,29 +106,12 @@ def triangulation_angle(c1, c2, p) -> Column:
     return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot / n)))
 
 
-def robust_weight(r: Column, loss: str, scale: float = 2.0) -> Column:
-    """IRLS weight of a residual for the losses none, huber and cauchy."""
-    scale = max(scale, 1e-9)
-    if loss == "huber":
-        return F.when(r <= scale, F.lit(1.0)).otherwise(F.lit(scale) / r)
-    if loss == "cauchy":
-        return 1.0 / (1.0 + (r / scale) * (r / scale))
-    return F.lit(1.0)
-
-
 def upper_median(values: Column) -> Column:
     """sorted[n div 2] of an array, nulls left out; null for an empty one."""
     s = F.array_sort(F.filter(values, lambda x: x.isNotNull()))
     return F.get(s, (F.size(s) / 2).cast("int"))
 
 
-def polygon_area(xs: Column, ys: Column) -> Column:
-    """Absolute shoelace area of a polygon given as two arrays."""
-    n = F.size(xs)
-    term = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(xs, i) * F.get(ys, (i + 1) % n) - F.get(xs, (i + 1) % n) * F.get(ys, i))
-    return F.abs(F.aggregate(term, F.lit(0.0), lambda a, b: a + b)) / 2.0
-
-
 def glob_regex(pattern: Column) -> Column:
     """Anchored regular expression of a glob with * and ?."""
     escaped = F.regexp_replace(pattern, r"([.\\+^$(){}\[\]|])", r"\\$1")

@@ -91,8 +91,3 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
 def enough_matches(matches: DataFrame, min_inliers: int) -> DataFrame:
     """image1, image2 of the pairs that can hold a pose: max(min_inliers, 8) matches and more."""
     return matches.groupBy("image1", "image2").count().where(F.col("count") >= max(min_inliers, 8)).drop("count")
-
-
-def between(pairs: DataFrame, image1: int, image2: int) -> DataFrame:
-    """The rows of a pair, in whichever order its images are named: pairs are kept with the smaller id first."""
-    return pairs.where((F.col("image1") == min(image1, image2)) & (F.col("image2") == max(image1, image2)))
