@@ -120,7 +120,7 @@ def licence_scan(files: DataFrame, threshold: float = 0.45, file_share: float =
     kinds = F.concat(F.transform(notices, lambda x: F.struct(F.lit(0).alias("kind"), x.alias("notice"))), F.transform(blocks, lambda x: F.struct(F.lit(1).alias("kind"), x.alias("notice"))))
     found = staged(hit.select("file_id", "path", "version", named.alias("named"), F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("n_words"), F.posexplode(kinds).alias("at", "x"))
                    .select("file_id", "path", "version", "named", "n_words", "at", "x.kind", "x.notice"), "notices")
-    units = found.groupBy("notice").agg(F.sum(1 - F.col("kind")).alias("n")).withColumn("unit", F.sha2("notice", 256))
+    units = found.groupBy("notice").agg(F.sum(1 - F.col("kind")).alias("n")).withColumn("unit", F.unhex(F.md5("notice")))
     total = found.where("kind = 0").count()
     seen = units.where("n > 0").select("n", F.explode(F.array_distinct(_terms("notice"))).alias("term")).groupBy("term").agg(F.sum("n").alias("df"))
     idf = seen.select("term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
