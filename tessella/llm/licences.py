@@ -2,7 +2,7 @@
 
 Notices are lines that mention licensing, and the whole text of a file that is named like a licence file. Equal notices are
 compared once. Vectors are sparse (notice, term, weight) rows, the product with the templates is a join on terms; the
-template table is a constant of this module. A folder has the licence of its licence files; a file without a notice of its own
+template table is a constant of this module, so its terms are broadcast. Notices that a bound of their length rules out are not weighed. A folder has the licence of its licence files; a file without a notice of its own
 gets that of the nearest folder above it: distinct folders are joined with their ancestors' paths, files with their folder.
 Only DataFrame functions are used.
 """
@@ -87,11 +87,45 @@ def _terms(col: str) -> Column:
 
 
 def _weights(units: DataFrame, idf: DataFrame, unseen: float, key: str) -> DataFrame:
-    """key, term, w: TF-IDF with vectors of length one."""
+    """key, term, w: term counts times inverse frequencies."""
     tf = units.select(key, F.explode(_terms("notice")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    w = tf.join(idf, "term", "left").select(key, "term", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("w"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    return tf.join(idf, "term", "left").select(key, "term", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("w"))
+
+
+def _norms(w: DataFrame, key: str) -> DataFrame:
+    return w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
+def _template_terms(spark: SparkSession, idf: DataFrame, unseen: float) -> tuple[DataFrame, DataFrame]:
+    """(template, licence) and (template, term, tw): each term's weight in a template of length one, times the term's inverse frequency."""
+    templates = spark.createDataFrame([(i, lic, t) for i, (lic, t) in enumerate(TEMPLATES)], "template int, licence string, notice string")
+    vocabulary = templates.select(F.explode(_terms("notice")).alias("term")).distinct()
+    idf = F.broadcast(idf.join(F.broadcast(vocabulary), "term", "left_semi"))  # a row for each word of the templates at most
+    w = _weights(templates, idf, unseen, "template")
+    unit = w.join(_norms(w, "template"), "template").join(idf, "term", "left")
+    return templates.select("template", "licence"), unit.select("template", "term", (F.col("w") / F.col("norm") * F.coalesce("idf", F.lit(unseen))).alias("tw"))
+
+
+def _best(units: DataFrame, threshold: float) -> DataFrame:
+    """unit, licence, minus (the negative score) of the notices (unit, notice, n, names) whose cosine to a template that they name is at threshold or above.
+
+    Products with the templates need no counts of terms, as they are sums over occurrences, and only the templates' words, which are
+    broadcast. A vector's length is at least occurrences / sqrt(distinct terms), as no inverse frequency is below 1: the exact length is
+    computed for the notices only that this bound leaves, so long texts' terms aren't shuffled.
+    """
+    spark = units.sparkSession
+    total = units.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    unseen = math.log(1.0 + total) + 1.0
+    seen = units.where("n > 0").select("n", F.explode(F.array_distinct(_terms("notice"))).alias("term")).groupBy("term").agg(F.sum("n").alias("df"))
+    idf = staged(seen.select("term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "idf")
+    templates, t = _template_terms(spark, idf, unseen)
+    each = units.select("unit", F.explode(_terms("notice")).alias("term"))
+    raw = each.join(F.broadcast(t), "term").groupBy("unit", "template").agg(F.sum("tw").alias("raw")).join(F.broadcast(templates), "template")
+    least = units.select("unit", F.explode("names").alias("licence"), (F.size(_terms("notice")) / F.sqrt(F.greatest(F.size(F.array_distinct(_terms("notice"))), F.lit(1)))).alias("least"))
+    left = staged(raw.join(least, ["unit", "licence"]).where(F.col("raw") >= (threshold - 1e-6) * F.col("least")).select("unit", "licence", "raw"), "compared")
+    norm = _norms(_weights(units.join(left, "unit", "left_semi"), idf, unseen, "unit"), "unit")
+    scored = left.join(norm, "unit").withColumn("score", F.round(F.col("raw") / F.col("norm"), 9)).where(F.col("score") >= threshold)
+    return scored.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b")).select("unit", "b.licence", "b.minus")
 
 
 def licence_scan(files: DataFrame, threshold: float = 0.45, file_share: float = 0.25) -> DataFrame:
@@ -118,33 +152,26 @@ def licence_scan(files: DataFrame, threshold: float = 0.45, file_share: float =
     blocks = F.transform(F.filter(joined_, lambda x: x.rlike(TRIGGER) & x.contains("\n")), lambda x: F.regexp_replace(x, r"\n", " "))
     notices = F.when(named, F.array_union(lines, F.array("text"))).otherwise(lines)
     kinds = F.concat(F.transform(notices, lambda x: F.struct(F.lit(0).alias("kind"), x.alias("notice"))), F.transform(blocks, lambda x: F.struct(F.lit(1).alias("kind"), x.alias("notice"))))
-    found = staged(hit.select("file_id", "path", "version", named.alias("named"), F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("n_words"), F.posexplode(kinds).alias("at", "x"))
-                   .select("file_id", "path", "version", "named", "n_words", "at", "x.kind", "x.notice"), "notices")
-    units = found.groupBy("notice").agg(F.sum(1 - F.col("kind")).alias("n")).withColumn("unit", F.unhex(F.md5("notice")))
-    total = found.where("kind = 0").count()
-    seen = units.where("n > 0").select("n", F.explode(F.array_distinct(_terms("notice"))).alias("term")).groupBy("term").agg(F.sum("n").alias("df"))
-    idf = seen.select("term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    unseen = math.log(1.0 + total) + 1.0
-    templates = spark.createDataFrame([(i, lic, t) for i, (lic, t) in enumerate(TEMPLATES)], "template int, licence string, notice string")
-    t = _weights(templates, idf, unseen, "template").withColumnRenamed("w", "tw").join(templates.select("template", "licence"), "template")
-    u = _weights(units, idf, unseen, "unit")
-    dots = u.join(t, "term").groupBy("unit", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("score"))
-    names = F.create_map(*(F.lit(x) for e in NAMES.items() for x in e))
-    lower = units.select("unit", F.regexp_replace(F.lower("notice"), r"\s+", " ").alias("lower"))
-    dots = dots.where(F.round("score", 9) >= threshold).join(lower, "unit").where(F.regexp_like("lower", names[F.col("licence")]))
-    best = dots.groupBy("unit").agg(F.min(F.struct((-F.round("score", 9)).alias("minus"), "licence")).alias("b")).where(-F.col("b.minus") >= threshold)
-    tag = F.regexp_replace(F.regexp_extract("notice", SPDX, 1), r"(?i)(-only|-or-later|\+)(?= |$)", "")
-    known = (
-        units.join(best, "unit", "left").withColumn("tag", tag)
-        .select("notice", F.when(F.col("tag") != "", F.col("tag")).otherwise(F.when(~F.col("notice").rlike("(?i)SPDX-License-Identifier"), F.col("b.licence"))).alias("licence"),
-                F.when(F.col("tag") != "", 1.0).otherwise(-F.col("b.minus")).alias("score"), F.size(_terms("notice")).alias("n_terms"))
-        .where("licence IS NOT NULL")
-    )
+    notice = F.col("x.notice")
+    tag = F.regexp_replace(F.regexp_extract(notice, SPDX, 1), r"(?i)(-only|-or-later|\+)(?= |$)", "")
+    found = staged(
+        hit.select("file_id", "path", "version", named.alias("named"), F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("n_words"), F.posexplode(kinds).alias("at", "x"))
+        .select("file_id", "path", "version", "named", "n_words", "at", "x.kind", notice.alias("notice"), F.unhex(F.md5(notice)).alias("unit"), F.size(_terms("x.notice")).alias("n_terms"),
+                ((F.col("x.kind") == 0) & ~notice.rlike(POINTER)).alias("states"), tag.alias("tag"), notice.rlike("(?i)SPDX-License-Identifier").alias("tagged")), "notices")
+    lower = F.regexp_replace(F.lower("notice"), r"\s+", " ")
+    units = staged(
+        found.groupBy("unit", "notice").agg(F.sum(1 - F.col("kind")).alias("n"))
+        .withColumn("names", F.filter(F.array(*(F.when(F.regexp_like(lower, F.lit(r)), F.lit(name)) for name, r in NAMES.items())), lambda x: x.isNotNull())), "units")
+    best = _best(units, threshold).withColumnsRenamed({"licence": "near", "minus": "near_minus"})
+    known = found.drop("notice").dropDuplicates(["file_id", "path", "version", "at"]).join(best, "unit", "left").withColumns({
+        "licence": F.when(F.col("tag") != "", F.col("tag")).otherwise(F.when(~F.col("tagged"), F.col("near"))),
+        "minus": F.when(F.col("tag") != "", -1.0).otherwise(F.col("near_minus")),
+    })
     matched = lambda kind: F.sum(F.when(F.col("licence").isNotNull() & (F.col("kind") == kind), F.col("n_terms")).otherwise(0))
     own = (
-        found.dropDuplicates(["file_id", "path", "version", "at"]).join(known, "notice", "left").groupBy("file_id", "path", "version").agg(
-            F.min(F.when(F.col("licence").isNotNull(), F.struct((-F.col("score")).alias("minus"), "licence"))).alias("b"), F.max("named").alias("named"),
-            F.greatest(matched(0), matched(1)).alias("n_terms"), F.max("n_words").alias("n_words"), F.max((F.col("kind") == 0) & ~F.col("notice").rlike(POINTER)).alias("stated"))
+        known.groupBy("file_id", "path", "version").agg(
+            F.min(F.when(F.col("licence").isNotNull(), F.struct("minus", "licence"))).alias("b"), F.max("named").alias("named"),
+            F.greatest(matched(0), matched(1)).alias("n_terms"), F.max("n_words").alias("n_words"), F.max("states").alias("stated"))
         .select("file_id", "path", "version", F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("own_score"), "stated",
                 (F.col("b").isNotNull() & (F.col("named") | (F.col("n_terms") >= file_share * F.col("n_words")))).alias("gives"))
     )

@@ -102,3 +102,16 @@ def test_usual_headers(spark):
     got = {r.file_id: r for r in licence_scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
     assert {h: got[i].licence for i, h in enumerate(HEADERS, 1)} == HEADERS
     assert [got[i].origin for i in range(len(HEADERS) - 3, len(HEADERS) + 1)] == ["inherited", "none", "none", "inherited"]
+
+
+def test_long_texts_and_texts_without_terms(spark):
+    """What the bound of the length rules out is what the brute-force form rules out; a licence file may hold no term at all.
+    No folder here gives a licence to a file with an unmatched notice: the brute-force form has no rule for these."""
+    filler = [f"term{i} licence word{i % 7}" for i in range(400)]
+    rows = [
+        (1, "l/LICENSE", "***\n---"), (2, "l/a.c", "x"), (3, "m/COPYING", " ".join(filler)), (4, "m/a.c", "x"), (5, "o5/a.c", " ".join(filler) + " Released under the MIT License. " + " ".join(filler)),
+        (6, "o6/b.c", "Released under the MIT License." * 300), (7, "o7/c.c", "Licensed under the Apache License, Version 2.0, with some other words that the template does not hold."), (8, "p/LICENSE", "\u8a31\u53ef"),
+        *((100 + i, f"r/f{i}.c", f"license {f}") for i, f in enumerate(filler[:50])),
+    ]
+    df = spark.createDataFrame(rows, "file_id long, path string, text string")
+    assert clean(map(tuple, licence_scan(df).collect())) == clean(brute(rows))
