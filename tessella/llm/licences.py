@@ -107,7 +107,7 @@ def _template_terms(spark: SparkSession, idf: DataFrame, unseen: float) -> tuple
 
 
 def _best(units: DataFrame, threshold: float) -> DataFrame:
-    """unit, licence, minus (the negative score) of the notices (unit, notice, n, names) whose cosine to a template that they name is at threshold or above.
+    """unit, licence, minus (the negative score) of the notices (unit, notice, n) whose cosine to a template that they name is at threshold or above.
 
     Products with the templates need no counts of terms, as they are sums over occurrences, and only the templates' words, which are
     broadcast. A vector's length is at least occurrences / sqrt(distinct terms), as no inverse frequency is below 1: the exact length is
@@ -121,10 +121,13 @@ def _best(units: DataFrame, threshold: float) -> DataFrame:
     templates, t = _template_terms(spark, idf, unseen)
     each = units.select("unit", F.explode(_terms("notice")).alias("term"))
     raw = each.join(F.broadcast(t), "term").groupBy("unit", "template").agg(F.sum("tw").alias("raw")).join(F.broadcast(templates), "template")
-    least = units.select("unit", F.explode("names").alias("licence"), (F.size(_terms("notice")) / F.sqrt(F.greatest(F.size(F.array_distinct(_terms("notice"))), F.lit(1)))).alias("least"))
-    left = staged(raw.join(least, ["unit", "licence"]).where(F.col("raw") >= (threshold - 1e-6) * F.col("least")).select("unit", "licence", "raw"), "compared")
-    norm = _norms(_weights(units.join(left, "unit", "left_semi"), idf, unseen, "unit"), "unit")
-    scored = left.join(norm, "unit").withColumn("score", F.round(F.col("raw") / F.col("norm"), 9)).where(F.col("score") >= threshold)
+    least = units.select("unit", (F.size(_terms("notice")) / F.sqrt(F.greatest(F.size(F.array_distinct(_terms("notice"))), F.lit(1)))).alias("least"))
+    left = staged(raw.join(least, "unit").where(F.col("raw") >= (threshold - 1e-6) * F.col("least")).select("unit", "licence", "raw"), "compared")
+    kept = staged(units.join(left, "unit", "left_semi").select("unit", "notice"), "kept")
+    lower = F.regexp_replace(F.lower("notice"), r"\s+", " ")
+    named = kept.select("unit", F.explode(F.array_compact(F.array(*(F.when(F.regexp_like(lower, F.lit(r)), F.lit(name)) for name, r in NAMES.items())))).alias("licence"))
+    scored = left.join(_norms(_weights(kept, idf, unseen, "unit"), "unit"), "unit").withColumn("score", F.round(F.col("raw") / F.col("norm"), 9))
+    scored = scored.where(F.col("score") >= threshold).join(named, ["unit", "licence"], "left_semi")
     return scored.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b")).select("unit", "b.licence", "b.minus")
 
 
@@ -158,10 +161,7 @@ def licence_scan(files: DataFrame, threshold: float = 0.45, file_share: float =
         hit.select("file_id", "path", "version", named.alias("named"), F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("n_words"), F.posexplode(kinds).alias("at", "x"))
         .select("file_id", "path", "version", "named", "n_words", "at", "x.kind", notice.alias("notice"), F.unhex(F.md5(notice)).alias("unit"), F.size(_terms("x.notice")).alias("n_terms"),
                 ((F.col("x.kind") == 0) & ~notice.rlike(POINTER)).alias("states"), tag.alias("tag"), notice.rlike("(?i)SPDX-License-Identifier").alias("tagged")), "notices")
-    lower = F.regexp_replace(F.lower("notice"), r"\s+", " ")
-    units = staged(
-        found.groupBy("unit", "notice").agg(F.sum(1 - F.col("kind")).alias("n"))
-        .withColumn("names", F.filter(F.array(*(F.when(F.regexp_like(lower, F.lit(r)), F.lit(name)) for name, r in NAMES.items())), lambda x: x.isNotNull())), "units")
+    units = staged(found.groupBy("unit", "notice").agg(F.sum(1 - F.col("kind")).alias("n")), "units")
     best = _best(units, threshold).withColumnsRenamed({"licence": "near", "minus": "near_minus"})
     known = found.drop("notice").dropDuplicates(["file_id", "path", "version", "at"]).join(best, "unit", "left").withColumns({
         "licence": F.when(F.col("tag") != "", F.col("tag")).otherwise(F.when(~F.col("tagged"), F.col("near"))),
