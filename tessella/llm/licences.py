@@ -123,11 +123,11 @@ def _best(units: DataFrame, threshold: float) -> DataFrame:
     raw = each.join(F.broadcast(t), "term").groupBy("unit", "template").agg(F.sum("tw").alias("raw")).join(F.broadcast(templates), "template")
     least = units.select("unit", (F.size(_terms("notice")) / F.sqrt(F.greatest(F.size(F.array_distinct(_terms("notice"))), F.lit(1)))).alias("least"))
     left = staged(raw.join(least, "unit").where(F.col("raw") >= (threshold - 1e-6) * F.col("least")).select("unit", "licence", "raw"), "compared")
-    kept = staged(units.join(left, "unit", "left_semi").select("unit", "notice"), "kept")
+    norm = _norms(_weights(units.join(left, "unit", "left_semi"), idf, unseen, "unit"), "unit")
+    near = staged(left.join(norm, "unit").withColumn("score", F.round(F.col("raw") / F.col("norm"), 9)).where(F.col("score") >= threshold), "near_templates")
     lower = F.regexp_replace(F.lower("notice"), r"\s+", " ")
-    named = kept.select("unit", F.explode(F.array_compact(F.array(*(F.when(F.regexp_like(lower, F.lit(r)), F.lit(name)) for name, r in NAMES.items())))).alias("licence"))
-    scored = left.join(_norms(_weights(kept, idf, unseen, "unit"), "unit"), "unit").withColumn("score", F.round(F.col("raw") / F.col("norm"), 9))
-    scored = scored.where(F.col("score") >= threshold).join(named, ["unit", "licence"], "left_semi")
+    names = F.explode(F.array_compact(F.array(*(F.when(F.regexp_like(lower, F.lit(r)), F.lit(name)) for name, r in NAMES.items()))))
+    scored = near.join(units.join(near, "unit", "left_semi").select("unit", names.alias("licence")), ["unit", "licence"], "left_semi")
     return scored.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b")).select("unit", "b.licence", "b.minus")
 
 
