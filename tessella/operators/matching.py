@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Numbers in a block of descriptors, distances that are held at once, and pairs of descriptors that are compared one by one at once.
+BLOCK, CELLS, PAIRS = 1 << 20, 1 << 21, 1 << 14
+
 
 def exhaustive_pairs(images: DataFrame, id_col: str = "image") -> DataFrame:
     """All (i, j), i < j: the quadratic result is what is asked for; image tables are small."""
@@ -25,28 +28,123 @@ def symmetrised(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i <> j").distinct()
 
 
+class _Nearest:
+    """The nearest and the second nearest of all columns for each row, and the nearest row for each column, of descriptors that
+    come some columns at a time. Distances are told by a matrix product where its rounding can't matter, and by sums of squared
+    differences, one after the other, where it can; ties go to the lower keypoint. A column that is there again counts twice."""
+
+    def __init__(self, kp: np.ndarray, v: np.ndarray):
+        self.kp, self.v, self.norm = kp, v, (v * v).sum(axis=1)
+        self.best, self.second, self.to = np.full(len(kp), np.inf), np.full(len(kp), np.inf), np.full(len(kp), -1)
+        self.columns: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.whole = self._whole(v)
+
+    @staticmethod
+    def _whole(v: np.ndarray) -> bool:
+        """Whether products of these numbers are exact: whole and small."""
+        return bool(np.isfinite(v).all() and (v == np.rint(v)).all() and 16.0 * v.shape[1] * np.abs(v).max(initial=0) ** 2 < 2**53)
+
+    def add(self, kp: np.ndarray, v: np.ndarray, again: np.ndarray) -> None:
+        step = max(1, CELLS // len(self.kp))
+        for i in range(0, len(kp), step):
+            self._tile(kp[i : i + step], v[i : i + step], again[i : i + step])
+
+    def _tile(self, kp: np.ndarray, v: np.ndarray, again: np.ndarray) -> None:
+        norm, exact = (v * v).sum(axis=1), self.whole and self._whole(v)
+        d = self.v @ v.T
+        d *= -2
+        d += self.norm[:, None]
+        d += norm[None, :]
+        slack = np.zeros(len(d)) if exact else (v.shape[1] + 8) * 4 * np.finfo(float).eps * (self.norm + norm.max())
+        if np.isfinite(d).all():
+            if self.columns:
+                limit = self.second
+            else:
+                limit = np.partition(d, 1, axis=1)[:, 1] + slack if len(kp) > 1 else self.second
+            near = d <= (limit + slack)[:, None]
+            near |= d <= d.min(axis=0) + 2 * slack.max()
+            row, col = np.nonzero(near)
+        else:
+            row, col = (a.ravel() for a in np.indices(d.shape))
+        if exact:
+            d = d[row, col]
+        else:
+            d = np.concatenate([np.cumsum((self.v[row[i : i + PAIRS]] - v[col[i : i + PAIRS]]) ** 2, axis=1)[:, -1] for i in range(0, len(row), PAIRS)])
+
+        order = np.lexsort((kp[col], d, row))
+        r, c, e = row[order], col[order], d[order]
+        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        follows = np.r_[r[1:] == r[:-1], False]
+        after = np.where(again[c], e, np.where(follows, np.r_[e[1:], np.inf], np.inf))[first]
+        r, c, e = r[first], c[first], e[first]
+        better = (e < self.best[r]) | ((e == self.best[r]) & (kp[c] < self.to[r]))
+        self.second[r] = np.where(better, np.minimum(self.best[r], after), np.minimum(self.second[r], e))
+        self.best[r], self.to[r] = np.where(better, e, self.best[r]), np.where(better, kp[c], self.to[r])
+
+        order = np.lexsort((self.kp[row], d, col))
+        first = order[np.r_[True, col[order][1:] != col[order][:-1]]]
+        self.columns.append((kp[col[first]], row[first], d[first]))
+
+    def rows(self, factor: float) -> tuple[np.ndarray, ...]:
+        """For each column: its keypoint, the nearest row's, their distance, and whether that row's nearest is this column and passes the ratio test."""
+        k2, row, d = (np.concatenate(a) for a in zip(*self.columns))
+        return k2, self.kp[row], d, (self.to[row] == k2) & (self.best[row] < factor * self.second[row])
+
+
 def match_float_products(pairs: DataFrame, keypoints: DataFrame, ratio: float = 0.8, linear: bool = False) -> DataFrame:
     """Mutual nearest neighbours under squared L2 with best < ratio^2 * second (linear: best < ratio * second, as for bits, whose squared L2 is the
-    Hamming distance); a single candidate has no second. Distances of a pair of images are one matrix product; an image's descriptors are one row (a bounded number)."""
-    packed = keypoints.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("kp", "desc"))).alias("k")).select("image", F.col("k.kp").alias("kp"), F.flatten("k.desc").alias("v"))
-    a, b = (packed.select(F.col("image").alias(f"image{i}"), F.col("kp").alias(f"kp{i}"), F.col("v").alias(f"v{i}")) for i in (1, 2))
-    both = pairs.select(F.col("i").alias("image1"), F.col("j").alias("image2")).repartition("image1", "image2").join(a, "image1").join(b, "image2")
+    Hamming distance); a single candidate has no second. Keypoints without a descriptor are no candidates.
+
+    An image's distinct descriptors are dealt to blocks of about BLOCK numbers. A task holds one block of the first image, reads all of the second image
+    some at a time, and so settles the block's nearest neighbours; the nearest of the second image's descriptors is the least over the blocks."""
+    k = keypoints.where("desc IS NOT NULL").select(F.col("image").cast("long").alias("image"), F.col("kp").cast("long").alias("kp"), F.col("desc").cast("array<double>").alias("v"))
+    k = k.groupBy("image", "v").agg(F.min("kp").alias("kp"), (F.count("*") > 1).alias("again"))  # of equal descriptors the lowest keypoint wins all ties
+    count = k.groupBy("image").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("v")) / BLOCK)).cast("int").alias("blocks"))
+    k = k.join(count, "image").withColumn("block", F.pmod(F.xxhash64("kp"), F.col("blocks")).cast("int")).drop("blocks")
+    one, two = (count.select(F.col("image").alias(f"image{i}"), F.col("blocks").alias(f"blocks{i}")) for i in (1, 2))
+    units = pairs.select(F.col("i").cast("long").alias("image1"), F.col("j").cast("long").alias("image2")).distinct().join(one, "image1").join(two, "image2")
+    units = units.select("image1", "image2", "blocks1", "blocks2", F.explode(F.sequence(F.lit(0), F.col("blocks1") - 1)).alias("part"))
+    unit = ["image1", "image2", "part"]
+    rows = units.select(*unit, "blocks1", F.lit(1).alias("side"), F.col("image1").alias("image"), F.col("part").alias("block")).unionByName(
+        units.select(*unit, "blocks1", F.lit(2).alias("side"), F.col("image2").alias("image"), F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)).alias("block")))
+    rows = rows.join(k, ["image", "block"]).select(*unit, "side", "blocks1", "kp", "again", "v").repartition(*unit).sortWithinPartitions(*unit, "side")
 
     factor = ratio if linear else ratio * ratio
 
-    def run(frames):
-        for f in frames:
-            for r in f.itertuples(index=False):
-                k1, k2 = np.asarray(r.kp1), np.asarray(r.kp2)
-                x, y = np.asarray(r.v1).reshape(len(k1), -1), np.asarray(r.v2).reshape(len(k2), -1)
-                d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
-                one, back = d.argmin(1), d.argmin(0)
-                best = d[np.arange(len(k1)), one]
-                second = np.partition(d, 1, axis=1)[:, 1] if len(k2) > 1 else np.full(len(k1), np.inf)
-                ok = (best < factor * second) & (back[one] == np.arange(len(k1)))
-                yield pd.DataFrame({"image1": r.image1, "image2": r.image2, "k1": k1[ok], "k2": k2[one[ok]]})
-
-    return both.select("image1", "image2", "kp1", "v1", "kp2", "v2").mapInPandas(run, "image1 long, image2 long, k1 long, k2 long")
+    def run(batches):
+        now, first, near, blocks = None, [], None, 1
+
+        def settled():
+            k2, k1, d, ok = near.rows(factor)
+            some = ok if blocks == 1 else np.ones(len(ok), bool)  # the nearest of one block is the nearest of all
+            n = int(some.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, now[0])), pa.array(np.full(n, now[1])), pa.array(k2[some]), pa.array(d[some]), pa.array(k1[some]), pa.array(ok[some])],
+                                             names=["image1", "image2", "k2", "d", "k1", "ok"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = np.stack([b.column(i).to_numpy() for i in range(4)])
+            kp, again = b.column(5).to_numpy(), b.column(6).to_numpy(zero_copy_only=False)
+            v = b.column(7).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            edges = np.flatnonzero(np.r_[True, (ids[:, 1:] != ids[:, :-1]).any(axis=0), True])
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                key, side = tuple(ids[:3, i].tolist()), ids[3, i]
+                if key != now:
+                    if near:
+                        yield from settled()
+                    now, first, near, blocks = key, [], None, int(b.column(4)[i].as_py())
+                if side == 1:
+                    first.append((kp[i:j], v[i:j].copy()))
+                else:
+                    near = near or _Nearest(*(np.concatenate(a) for a in zip(*first)))
+                    near.add(kp[i:j], v[i:j], again[i:j])
+        if near:
+            yield from settled()
+
+    found = rows.mapInArrow(run, "image1 long, image2 long, k2 long, d double, k1 long, ok boolean")
+    least = found.groupBy("image1", "image2", "k2").agg(F.min(F.struct("d", "k1", "ok")).alias("m")).where("m.ok")
+    return least.select("image1", "image2", F.col("m.k1").alias("k1"), "k2")
 
 
 def strongest(keypoints: DataFrame, most: int) -> DataFrame:

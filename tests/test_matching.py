@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from tessella.operators import matching
@@ -20,3 +22,47 @@ def test_matches_against_brute_force(spark):
                 if row[y] < ratio * ratio * second and int(dist[:, y].argmin()) == x:
                     want.add((i, j, k1[x], k2[y]))
         assert set(map(tuple, matching.match_float_products(pairs, kp, ratio).collect())) == want
+
+
+def matches(one, two, factor):
+    """Brute force with sums of squared differences in order; ties go to the lower keypoint, which is the lower place here."""
+    d = np.array([[np.cumsum((a - b) ** 2)[-1] for b in two] for a in one])
+    to, back = d.argmin(axis=1), d.argmin(axis=0)
+    second = np.sort(d, axis=1)[:, 1] if len(two) > 1 else np.full(len(one), np.inf)
+    return {(x, int(y)) for x, y in enumerate(to) if d[x, y] < factor * second[x] and back[y] == x}
+
+
+def test_blocks_equal_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    for kind in ("far", "bits", "copies"):
+        near = r.normal(size=(40, 6))
+        sets = []
+        for n in (37, 52, 1):
+            v = near[r.integers(0, 40, n)] + r.normal(size=(n, 6)) * 0.05
+            sets.append(v + 1e6 if kind == "far" else (v > 0).astype(float) if kind == "bits" else np.round(v) + 0.1)
+        rows = [(i, k, v.tolist()) for i, vs in enumerate(sets) for k, v in enumerate(vs)] + [(0, 900, None)]
+        kp = spark.createDataFrame(rows, "image long, kp long, desc array<double>")
+        pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 0), (1, 2), (0, 1), (2, 7)], "i long, j long")
+        want = {(i, j, a, b) for i, j in ((0, 1), (0, 2), (1, 0), (1, 2)) for a, b in matches(sets[i], sets[j], 0.95)}
+        for block in (matching.BLOCK, 60):  # one block, and several of each image
+            monkeypatch.setattr(matching, "BLOCK", block)
+            got = list(map(tuple, matching.match_float_products(pairs, kp, 0.95, linear=True).collect()))
+            assert len(got) == len(want) and set(got) == want, (kind, block)
+
+
+def test_many_descriptors_in_bounded_memory(monkeypatch):
+    r = np.random.default_rng(5)
+    one, two = r.normal(size=(6000, 8)), r.normal(size=(9000, 8))
+    tracemalloc.start()
+    near = matching._Nearest(np.arange(6000), one)
+    for i in range(0, 9000, 2500):
+        near.add(np.arange(i, min(9000, i + 2500)), two[i : i + 2500], np.zeros(min(2500, 9000 - i), bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6000 * 9000 * 8 / 4  # not all distances at once
+    k2, k1, _, ok = near.rows(0.9)
+    some = r.choice(6000, 200, replace=False)
+    d = ((one[some][:, None, :] - two[None]) ** 2).sum(axis=2)
+    assert (near.to[some] == d.argmin(axis=1)).all() and np.allclose(near.second[some], np.sort(d, axis=1)[:, 1])
+    assert (k1[:50] == ((two[k2[:50]][:, None, :] - one[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
+    assert ok.any() and not ok.all()
