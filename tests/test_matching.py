@@ -2,7 +2,7 @@ import tracemalloc
 
 import numpy as np
 
-from tessella.operators import matching
+from tessella.operators import matching, reconstruct
 from tessella.plans import catalog
 
 
@@ -66,3 +66,17 @@ def test_many_descriptors_in_bounded_memory(monkeypatch):
     assert (near.to[some] == d.argmin(axis=1)).all() and np.allclose(near.second[some], np.sort(d, axis=1)[:, 1])
     assert (k1[:50] == ((two[k2[:50]][:, None, :] - one[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
     assert ok.any() and not ok.all()
+
+
+def test_bits_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK", 1000)
+    r = np.random.default_rng(6)
+    sets = [r.integers(0, 1 << 12, n) for n in (70, 55)]  # few values: equal codes and many equal distances
+    kp = spark.createDataFrame([(i, k, [int(c)]) for i, s in enumerate(sets) for k, c in enumerate(s)], "image long, kp long, desc_b array<long>")
+    kp = kp.selectExpr("image AS image_id", "kp", "cast(null AS array<double>) AS desc_f", "desc_b", "cast(null AS struct<capture_id:long,marker_id:int,corner_index:int>) AS desc_m")
+    one, two = (((s[:, None] >> np.arange(12)) & 1).astype(float) for s in sets)
+    plans, run = [], matching.match_float_products
+    monkeypatch.setattr(matching, "match_float_products", lambda *a, **k: plans.append(run(*a, **k)) or plans[-1])
+    got = list(map(tuple, reconstruct.putative(spark.createDataFrame([(0, 1)], "i long, j long"), kp, 0.95).collect()))
+    assert sorted(got) == sorted((0, 1, a, b) for a, b in matches(one, two, 0.95))
+    assert all("collect_list" not in p._jdf.queryExecution().toString() for p in plans)  # no row holds a whole image
