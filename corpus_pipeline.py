@@ -17,9 +17,10 @@ KEPT_BYTES = 24_000_000
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected: null, blank and letterless texts, and those that no learned language claims. The rest stays as it is."""
+    """Rejected: null, blank and letterless texts, and those that no learned language claims. The rest stays,
+    and lang becomes the predicted language, which goes with each document to the end."""
     labelled = docs.where(~langid.held_out())
-    return langid.reject_unidentified(docs, langid.train(labelled), MIN_KNOWN)
+    return langid.reject_unidentified(docs, langid.train(labelled), MIN_KNOWN, lang_col="lang")
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +43,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of ids and decoded text."""
-    return bpe.digests(bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), stretch_bytes=KEPT_BYTES))
+    """doc_id, n_tokens and digests of ids and decoded text, and the identified language."""
+    return bpe.digests(bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), stretch_bytes=KEPT_BYTES, carried=("lang",)))
 
 
 STAGES = [

@@ -206,8 +206,8 @@ def _encoder(path: str, stretch_bytes: int) -> Encoder:
     return Encoder(path, stretch_bytes)
 
 
-def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", stretch_bytes: int = STRETCH_BYTES) -> DataFrame:
-    """One row per row: doc_id, n_tokens, ids (decimal, joined by one space), decoded.
+def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", stretch_bytes: int = STRETCH_BYTES, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row: doc_id, n_tokens, ids (decimal, joined by one space), decoded, and the carried columns of df as they are.
 
     ids are those of the tokenizers library on the whole text without special tokens added, decoded is its decode()
     with special tokens kept, for a file without a decoder: tokens joined by one space. Null and empty texts have no tokens and
@@ -222,12 +222,12 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         for b in batches:
             data, off = flat(b.column(1))
             raw = data.tobytes()
-            held, size = [], 0
+            held, size, begin = [], 0, 0
 
             def out():
                 return pa.RecordBatch.from_arrays(
-                    [pa.array([h[0] for h in held], pa.int64()), *(pa.array([h[1][j] for h in held], t) for j, t in enumerate((pa.int64(), pa.string(), pa.string())))],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
+                    [pa.array([h[0] for h in held], pa.int64()), *(pa.array([h[1][j] for h in held], t) for j, t in enumerate((pa.int64(), pa.string(), pa.string()))), *(b.column(2 + j).slice(begin, len(held)) for j in range(len(carried)))],
+                    names=["doc_id", "n_tokens", "ids", "decoded", *carried],
                 )
 
             for i, key in enumerate(b.column(0).to_pylist()):
@@ -236,12 +236,13 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 size += len(e[1]) + len(e[2])
                 if size > OUT_BYTES:
                     yield out()
-                    held, size = [], 0
+                    held, size, begin = [], 0, i + 1
             if held:
                 yield out()
 
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    return df.select(*cols).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids string, decoded string")
+    more = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in carried)
+    return df.select(*cols, *carried).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids string, decoded string" + more)
 
 
 def token_ids(encoded: DataFrame) -> DataFrame:
@@ -265,5 +266,5 @@ def decode_ids(df: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> Data
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and SHA-256 of ids and decoded text."""
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens and SHA-256 of ids and decoded text; further columns follow as they are."""
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *encoded.columns[4:])

@@ -192,18 +192,25 @@ def identify_language(df: DataFrame, model: dict | None, id_col: str = "doc_id",
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), has_letter(text_col).alias("ok")).mapInArrow(tidy(run), schema)
 
 
-def reject_unidentified(df: DataFrame, model: dict | None, min_known: float = 0.1, text_col: str = "text") -> DataFrame:
+def reject_unidentified(df: DataFrame, model: dict | None, min_known: float = 0.1, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
     """The rows of df, with all their columns, whose language is known: text with a letter, of whose n-grams the share min_known at least
-    is known to the landmarks. Null, empty and letterless texts go; without a model (no labelled row) all others stay."""
+    is known to the landmarks. Null, empty and letterless texts go; without a model (no labelled row) all others stay.
+    lang_col: this column becomes the predicted language (`und` without a model), whatever it held."""
     arrow_batches(df.sparkSession)
     if model is None:
-        return df.where(has_letter(text_col))
+        rows = df.where(has_letter(text_col))
+        return rows.withColumn(lang_col, F.lit("und")) if lang_col else rows
     at = df.columns.index(text_col)
+    to = df.columns.index(lang_col) if lang_col else None
 
     def run(batches):
         scorer = Scorer(model)
         for b in batches:
-            yield b.filter(pa.array(scorer.known(*flat(b.column(at))) >= min_known))
+            b = b.filter(pa.array(scorer.known(*flat(b.column(at))) >= min_known))
+            if to is not None and b.num_rows:
+                best = scorer.scores(*flat(b.column(at))).argmax(axis=1)
+                b = b.set_column(to, lang_col, pa.array([model["languages"][i] for i in best], pa.string()))
+            yield b
 
     return df.where(has_letter(text_col)).mapInArrow(tidy(run), df.schema)
 

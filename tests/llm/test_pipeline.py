@@ -53,3 +53,14 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_identified_language_reaches_the_result(spark, tmp_path):
+    docs = documents()
+    docs = [(i, t, None if i % 7 == 0 else "en" if i == 9 else lang, s, n) for i, t, lang, s, n in docs]  # unlabelled rows, and one label that may be wrong
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    truth = {i: lang for i, _, lang, _, _ in documents()}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and all(x.lang == truth[x.doc_id] for x in got)
