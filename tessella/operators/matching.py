@@ -34,28 +34,43 @@ class _Nearest:
     differences, one after the other, where it can; ties go to the lower keypoint. A column that is there again counts twice."""
 
     def __init__(self, kp: np.ndarray, v: np.ndarray):
-        self.kp, self.v, self.norm = kp, v, (v * v).sum(axis=1)
+        order = np.argsort(kp)
+        self.kp, self.v = kp[order], v[order]
+        self.norm = (self.v * self.v).sum(axis=1)
         self.best, self.second, self.to = np.full(len(kp), np.inf), np.full(len(kp), np.inf), np.full(len(kp), -1)
         self.columns: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.whole = self._whole(v)
+        self.exact = self._exact(v)
+        self.short = self.v.astype(self.exact or float, copy=False)
 
     @staticmethod
-    def _whole(v: np.ndarray) -> bool:
-        """Whether products of these numbers are exact: whole and small."""
-        return bool(np.isfinite(v).all() and (v == np.rint(v)).all() and 16.0 * v.shape[1] * np.abs(v).max(initial=0) ** 2 < 2**53)
+    def _exact(v: np.ndarray) -> type | None:
+        """The shorter type in which products of these numbers are exact, as they are whole and small; none if they aren't."""
+        if not (np.isfinite(v).all() and (v == np.rint(v)).all()):
+            return None
+        most = 16.0 * v.shape[1] * np.abs(v).max(initial=0) ** 2
+        return np.float32 if most < 2**24 else np.float64 if most < 2**53 else None
 
     def add(self, kp: np.ndarray, v: np.ndarray, again: np.ndarray) -> None:
-        step = max(1, CELLS // len(self.kp))
+        step, order = max(1, CELLS // len(self.kp)), np.argsort(kp)
         for i in range(0, len(kp), step):
-            self._tile(kp[i : i + step], v[i : i + step], again[i : i + step])
+            some = order[i : i + step]
+            self._tile(kp[some], v[some], again[some])
 
     def _tile(self, kp: np.ndarray, v: np.ndarray, again: np.ndarray) -> None:
-        norm, exact = (v * v).sum(axis=1), self.whole and self._whole(v)
-        d = self.v @ v.T
+        norm, types = (v * v).sum(axis=1), (self.exact, self._exact(v))
+        exact = None not in types
+        kind = np.result_type(*types) if exact else np.dtype(float)
+        d = (self.short if self.short.dtype == kind else self.v) @ v.astype(kind).T
         d *= -2
-        d += self.norm[:, None]
-        d += norm[None, :]
-        slack = np.zeros(len(d)) if exact else (v.shape[1] + 8) * 4 * np.finfo(float).eps * (self.norm + norm.max())
+        d += self.norm[:, None].astype(kind)
+        d += norm[None, :].astype(kind)
+        if exact:  # equal distances, of which bits have many, are not listed: rows and columns are in order of keypoints, so the first is the lowest
+            every, c, r = np.arange(len(d)), d.argmin(axis=1), d.argmin(axis=0)
+            self.columns.append((kp, r, d[r, np.arange(len(kp))].astype(float)))
+            e = d[every, c].astype(float)
+            d[every, c] = np.inf
+            return self._update(every, kp[c], e, np.where(again[c], e, d.min(axis=1)))
+        slack = (v.shape[1] + 8) * 4 * np.finfo(float).eps * (self.norm + norm.max())
         if np.isfinite(d).all():
             if self.columns:
                 limit = self.second
@@ -66,40 +81,42 @@ class _Nearest:
             row, col = np.nonzero(near)
         else:
             row, col = (a.ravel() for a in np.indices(d.shape))
-        if exact:
-            d = d[row, col]
-        else:
-            d = np.concatenate([np.cumsum((self.v[row[i : i + PAIRS]] - v[col[i : i + PAIRS]]) ** 2, axis=1)[:, -1] for i in range(0, len(row), PAIRS)])
+        d = np.concatenate([np.cumsum((self.v[row[i : i + PAIRS]] - v[col[i : i + PAIRS]]) ** 2, axis=1)[:, -1] for i in range(0, len(row), PAIRS)])
 
         order = np.lexsort((kp[col], d, row))
         r, c, e = row[order], col[order], d[order]
         first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
         follows = np.r_[r[1:] == r[:-1], False]
         after = np.where(again[c], e, np.where(follows, np.r_[e[1:], np.inf], np.inf))[first]
-        r, c, e = r[first], c[first], e[first]
-        better = (e < self.best[r]) | ((e == self.best[r]) & (kp[c] < self.to[r]))
-        self.second[r] = np.where(better, np.minimum(self.best[r], after), np.minimum(self.second[r], e))
-        self.best[r], self.to[r] = np.where(better, e, self.best[r]), np.where(better, kp[c], self.to[r])
+        self._update(r[first], kp[c[first]], e[first], after)
 
         order = np.lexsort((self.kp[row], d, col))
         first = order[np.r_[True, col[order][1:] != col[order][:-1]]]
         self.columns.append((kp[col[first]], row[first], d[first]))
 
+    def _update(self, r: np.ndarray, to: np.ndarray, e: np.ndarray, after: np.ndarray) -> None:
+        """For rows r: a tile's nearest keypoint, its distance and the second distance."""
+        better = (e < self.best[r]) | ((e == self.best[r]) & (to < self.to[r]))
+        self.second[r] = np.where(better, np.minimum(self.best[r], after), np.minimum(self.second[r], e))
+        self.best[r], self.to[r] = np.where(better, e, self.best[r]), np.where(better, to, self.to[r])
+
     def rows(self, factor: float) -> tuple[np.ndarray, ...]:
         """For each column: its keypoint, the nearest row's, their distance, and whether that row's nearest is this column and passes the ratio test."""
         k2, row, d = (np.concatenate(a) for a in zip(*self.columns))
         return k2, self.kp[row], d, (self.to[row] == k2) & (self.best[row] < factor * self.second[row])
 
 
-def match_float_products(pairs: DataFrame, keypoints: DataFrame, ratio: float = 0.8, linear: bool = False) -> DataFrame:
+def match_float_products(pairs: DataFrame, keypoints: DataFrame, ratio: float = 0.8, linear: bool = False, bits: bool = False) -> DataFrame:
     """Mutual nearest neighbours under squared L2 with best < ratio^2 * second (linear: best < ratio * second, as for bits, whose squared L2 is the
-    Hamming distance); a single candidate has no second. Keypoints without a descriptor are no candidates.
+    Hamming distance); a single candidate has no second. Keypoints without a descriptor are no candidates. bits: descriptors are 64-bit words, which stay words
+    until a worker has them and are numbers there only, batch by batch.
 
     An image's distinct descriptors are dealt to blocks of about BLOCK numbers. A task holds one block of the first image, reads all of the second image
     some at a time, and so settles the block's nearest neighbours; the nearest of the second image's descriptors is the least over the blocks."""
-    k = keypoints.where("desc IS NOT NULL").select(F.col("image").cast("long").alias("image"), F.col("kp").cast("long").alias("kp"), F.col("desc").cast("array<double>").alias("v"))
-    k = k.groupBy("image", "v").agg(F.min("kp").alias("kp"), (F.count("*") > 1).alias("again"))  # of equal descriptors the lowest keypoint wins all ties
-    count = k.groupBy("image").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("v")) / BLOCK)).cast("int").alias("blocks"))
+    k = keypoints.where("desc IS NOT NULL").select(F.col("image").cast("long").alias("image"), F.col("kp").cast("long").alias("kp"), F.col("desc").cast("array<long>" if bits else "array<double>").alias("v"))
+    whole = F.min(F.forall("v", F.isnotnull)) if bits else F.lit(True)  # after the grouping, as a filter of v would have it computed twice
+    k = k.groupBy("image", "v").agg(F.min("kp").alias("kp"), (F.count("*") > 1).alias("again"), whole.alias("whole")).where("whole").drop("whole")  # of equal descriptors the lowest keypoint wins all ties
+    count = k.groupBy("image").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("v")) * (64 if bits else 1) / BLOCK)).cast("int").alias("blocks"))
     k = k.join(count, "image").withColumn("block", F.pmod(F.xxhash64("kp"), F.col("blocks")).cast("int")).drop("blocks")
     one, two = (count.select(F.col("image").alias(f"image{i}"), F.col("blocks").alias(f"blocks{i}")) for i in (1, 2))
     units = pairs.select(F.col("i").cast("long").alias("image1"), F.col("j").cast("long").alias("image2")).distinct().join(one, "image1").join(two, "image2")
@@ -107,7 +124,7 @@ def match_float_products(pairs: DataFrame, keypoints: DataFrame, ratio: float =
     unit = ["image1", "image2", "part"]
     rows = units.select(*unit, "blocks1", F.lit(1).alias("side"), F.col("image1").alias("image"), F.col("part").alias("block")).unionByName(
         units.select(*unit, "blocks1", F.lit(2).alias("side"), F.col("image2").alias("image"), F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)).alias("block")))
-    rows = rows.join(k, ["image", "block"]).select(*unit, "side", "blocks1", "kp", "again", "v").repartition(*unit).sortWithinPartitions(*unit, "side")
+    rows = rows.join(k, ["image", "block"]).select(*unit, "side", "blocks1", "kp", "again", "v").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *unit).sortWithinPartitions(*unit, "side")
 
     factor = ratio if linear else ratio * ratio
 
@@ -127,6 +144,7 @@ def match_float_products(pairs: DataFrame, keypoints: DataFrame, ratio: float =
             ids = np.stack([b.column(i).to_numpy() for i in range(4)])
             kp, again = b.column(5).to_numpy(), b.column(6).to_numpy(zero_copy_only=False)
             v = b.column(7).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            v = np.unpackbits(v.view(np.uint8), axis=1).astype(float) if bits else v
             edges = np.flatnonzero(np.r_[True, (ids[:, 1:] != ids[:, :-1]).any(axis=0), True])
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 key, side = tuple(ids[:3, i].tolist()), ids[3, i]

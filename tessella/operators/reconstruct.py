@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import averaging, bundle, incremental
 from tessella.functions import geometry as G
-from tessella.operators import adjustment, estimation, graph, matching, retrieval, viewgraph
+from tessella.operators import adjustment, estimation, graph, matching, viewgraph
 from tessella.operators.tracks import tracks
 from tessella.storage import staged
 
@@ -33,8 +33,8 @@ def putative(pairs: DataFrame, keypoints: DataFrame, ratio: float = 0.8) -> Data
     markers by identity. Images of different kinds have no matches."""
     k = keypoints.withColumnRenamed("image_id", "image")
     out = matching.match_float_products(pairs, k.where("desc_f IS NOT NULL").select("image", "kp", F.col("desc_f").alias("desc")), ratio)
-    bits = k.where("desc_b IS NOT NULL").select("image", "kp", retrieval.unpacked(F.col("desc_b")).alias("desc"))
-    return out.unionByName(matching.match_float_products(pairs, bits, ratio, linear=True)).unionByName(_markers(pairs, k))
+    bits = k.where("desc_b IS NOT NULL").select("image", "kp", F.col("desc_b").alias("desc"))
+    return out.unionByName(matching.match_float_products(pairs, bits, ratio, linear=True, bits=True)).unionByName(_markers(pairs, k))
 
 
 def _markers(pairs: DataFrame, k: DataFrame) -> DataFrame:

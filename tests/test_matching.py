@@ -1,3 +1,4 @@
+import itertools
 import tracemalloc
 
 import numpy as np
@@ -80,3 +81,44 @@ def test_bits_in_several_blocks(spark, monkeypatch):
     got = list(map(tuple, reconstruct.putative(spark.createDataFrame([(0, 1)], "i long, j long"), kp, 0.95).collect()))
     assert sorted(got) == sorted((0, 1, a, b) for a, b in matches(one, two, 0.95))
     assert all("collect_list" not in p._jdf.queryExecution().toString() for p in plans)  # no row holds a whole image
+
+
+def test_equal_distances_in_bounded_memory():
+    r = np.random.default_rng(7)
+    codes = np.array([np.isin(np.arange(62), t) for t in itertools.combinations(range(62), 3)], float)
+    one, two = codes[r.choice(len(codes), 3000, replace=False)], 1 - codes[r.choice(len(codes), 3000, replace=False)]  # most distances are the least there is
+    k1, k2, again = r.permutation(3000), r.permutation(3000), r.random(3000) < 0.2
+    tracemalloc.start()
+    near = matching._Nearest(k1, one)
+    for i in range(0, 3000, 1100):
+        near.add(k2[i : i + 1100], two[i : i + 1100], again[i : i + 1100])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # 136 MB when ties were listed one by one
+    one, two, again = one[np.argsort(k1)], two[np.argsort(k2)], again[np.argsort(k2)]
+    d = one.sum(axis=1)[:, None] + two.sum(axis=1)[None] - 2 * one @ two.T
+    assert (near.to[np.argsort(near.kp)] == d.argmin(axis=1)).all()
+    d = np.concatenate([d, np.where(again, d, np.inf)], axis=1)
+    assert (near.second[np.argsort(near.kp)] == np.sort(d, axis=1)[:, 1]).all()
+    to, first, e, _ = near.rows(0.9)
+    assert sorted(to) == list(range(3000)) and (first == d[:, to].argmin(axis=0)).all() and (e == d[:, to].min(axis=0)).all()
+
+
+def test_words_are_shuffled_as_words(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    near = r.integers(-(1 << 63), 1 << 63, size=(30, 2))
+    sets = [near[r.integers(0, 30, n)] ^ (np.int64(1) << r.integers(0, 64, size=(n, 2))) for n in (41, 36)]
+    rows = [(i, k, [int(w) for w in c]) for i, s in enumerate(sets) for k, c in enumerate(s)] + [(0, 800, None), (0, 900, [None, 1])]
+    kp = spark.createDataFrame(rows, "image_id long, kp long, desc_b array<long>")
+    kp = kp.selectExpr("image_id", "kp", "cast(null AS array<double>) AS desc_f", "desc_b", "cast(null AS struct<capture_id:long,marker_id:int,corner_index:int>) AS desc_m")
+    one, two = (np.array([[(int(w) >> b) & 1 for w in c for b in range(64)] for c in s], float) for s in sets)
+    plans, run = [], matching.match_float_products
+    monkeypatch.setattr(matching, "match_float_products", lambda *a, **k: plans.append(run(*a, **k)) or plans[-1])
+    got = list(map(tuple, reconstruct.putative(spark.createDataFrame([(0, 1)], "i long, j long"), kp, 0.95).collect()))
+    assert got and sorted(got) == sorted((0, 1, a, b) for a, b in matches(one, two, 0.95))
+    dealt, nodes = [], [plans[-1]._jdf.queryExecution().analyzed()]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        dealt += [node.schema().simpleString()] if node.nodeName().startswith("Repartition") else []
+    assert dealt and all("v:array<bigint>" in x for x in dealt)  # a number for each bit is 64 times as much
