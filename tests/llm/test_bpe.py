@@ -94,3 +94,56 @@ def test_disagreement_at_a_join(monkeypatch):
     real, calls = Encoder._ids, []
     monkeypatch.setattr(Encoder, "_ids", lambda self, x: (calls.append(x), real(self, x))[1][: None if x == text else -1])
     assert e.encode(text.encode())[1] == " ".join(map(str, want)) and calls[-1] == text and len(calls) > 1
+
+
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.texts = inner, 0
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def encode(self, text, **kw):
+        self.texts += 1
+        return self.inner.encode(text, **kw)
+
+    def encode_batch_fast(self, texts, **kw):
+        self.texts += len(texts)
+        return self.inner.encode_batch_fast(texts, **kw)
+
+
+def some_words(r, n, others):
+    letters = "abcdeghnrstABCDEÀÉÈÖÜßàéèçêöüñÿ"
+    out = ["".join(r.choice(letters) for _ in range(r.randint(1, 12))) + r.choice(["", "", ".", ",", "!?", "***", ",&&&"]) for _ in range(n)]
+    return [r.choice(others) + w if r.random() < 0.1 else w for w in out] if others else out
+
+
+def test_new_plain_words_go_to_the_model():
+    e, t = Encoder(PATH), Tokenizer.from_file(PATH)
+    e.tokenizer = Counted(e.tokenizer)
+    text = " ".join(some_words(random.Random(21), 5000, []))
+    ids = t.encode(text, add_special_tokens=False).ids
+    assert e.encode(text.encode())[:2] == (len(ids), " ".join(map(str, ids)))
+    assert e.tokenizer.texts < 500
+
+
+def test_words_that_are_not_plain():
+    e, t = Encoder(PATH), Tokenizer.from_file(PATH)
+    r = random.Random(22)
+    others = ["'s", "don't", "1", "́", "H̱", "İ", "İ", "\xa0", "\x1c", "<|endoftext|>", "<|ENDOFTEXT|>", "中", "a.b", "×", "ª", "\x01", "-.-.-.-.-.-.-", "ſ", "K"]
+    texts = [" ".join(some_words(r, r.choice([3, 80, 900]), others)) for _ in range(60)] + ["\xa0 \xa0", "\xa0", " \x1c "]
+    for (n, ids, decoded), x in zip(e.encode_all([x.encode() for x in texts]), texts):
+        want = t.encode(x, add_special_tokens=False).ids
+        assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), t.decode(want, skip_special_tokens=False))
+
+
+def test_letters_that_could_hold_an_added_token(tmp_path):
+    t = Tokenizer.from_file(PATH)
+    t.add_tokens(["thing"])
+    t.save(path := f"{tmp_path}/t.json")
+    e = Encoder(path)
+    assert e.letters is None and Encoder(PATH).letters and Encoder(PATH).folds
+    text = "some things, anything. " * 200
+    assert e.encode(text.encode())[1] == " ".join(map(str, t.encode(text, add_special_tokens=False).ids))
