@@ -13,6 +13,7 @@ import base64
 import hashlib
 import json
 import re
+import struct
 import uuid
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_batches, open_store, tidy
+from tessella.llm.common import arrow_batches, flat, open_store, tidy
 from tessella.llm.exchange import SENT, receive, send
 from tessella.storage import scratch
 
@@ -30,6 +31,8 @@ ROUNDS = 6
 WAVES = 2
 #: Sequences in a row of the staged table: a batch of 512 rows is what Python gets at once.
 HELD = 128
+#: Rows of the staged table whose sequences are dealt together: 2 MB of tokens.
+DEALT = 16
 #: Columns of sequences in training order.
 ROWS = "slot long, shard long, byte_offset long, doc_id long, seq_no long, n_tokens int, tokens binary"
 #: Rank of rows without id: before all ids.
@@ -79,6 +82,42 @@ def _tiktoken(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: How the tokenizer's pattern ends, white space by its meaning, and where a run of it must be cut to do without the lookahead.
+_LOOKAHEAD, _WHITE = r"|\s+(?!\S)|\s+", "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{_WHITE}](?=[{_WHITE}][^{_WHITE}])")
+_TO_SPACE = bytes(32 if i in range(9, 14) else i for i in range(256))
+#: What the other white space begins with in UTF-8.
+_RARE_LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+
+
+@lru_cache(maxsize=1)
+def _without_lookahead(path: str):
+    """An encoding that gives the same tokens where no run of white space is followed by something else, and is faster; None for another pattern."""
+    import public_tokenizers
+    import tiktoken
+
+    if not public_tokenizers.PATTERN.endswith(_LOOKAHEAD):
+        return None
+    pattern = public_tokenizers.PATTERN.removesuffix(_LOOKAHEAD) + r"|\s+"
+    return tiktoken.Encoding("ranks, no lookahead", pat_str=pattern, mergeable_ranks=_tiktoken(path)._mergeable_ranks, special_tokens={})
+
+
+def _token_ids(path: str, text: str) -> list[int]:
+    """Ids of the whole text. The pattern's lookahead leaves the last character of a run of white space to what follows; as the text
+    is cut there, each part is matched the same way without it."""
+    fast = _without_lookahead(path)
+    if fast is None:
+        return _tiktoken(path).encode_ordinary(text)
+    raw = text.encode().translate(_TO_SPACE)
+    if b"  " not in raw and not any(x in raw for x in _RARE_LEADS):
+        return fast.encode_ordinary(text)
+    out, begin = [], 0
+    for m in _RUN.finditer(text):
+        out += fast.encode_ordinary(text[begin : m.end()])
+        begin = m.end()
+    return out + fast.encode_ordinary(text[begin:])
+
+
 def sequences_in_training_order(
     df: DataFrame, ranks_path: str, end_id: int = 50256, length: int = 512, slots_per_shard: int = 4096, key: int = 20240607,
     id_col: str = "doc_id", text_col: str = "text",
@@ -114,7 +153,6 @@ def _in_waves(df: DataFrame, ranks_path: str, end_id: int, length: int, slots_pe
 
     def cut(bucket, tables):
         table = tables[0]
-        encoding = _tiktoken(ranks_path)
         ids, texts, hashes = table.column(0).to_pylist(), table.column(1).to_pylist(), table.column(2).to_numpy().view(np.uint64).tolist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, hashes[i], texts[i] or "", texts[i] is not None))
         number, held = 0, []
@@ -128,12 +166,11 @@ def _in_waves(df: DataFrame, ranks_path: str, end_id: int, length: int, slots_pe
             )
 
         for i in order:
-            t = np.array([*encoding.encode_ordinary(texts[i] or ""), end_id], np.uint16)
-            for j in range(0, len(t), length):
-                part = t[j : j + length]
-                full = np.full(length, end_id, "<u2")
-                full[: len(part)] = part
-                held.append((ids[i], j // length, len(part), full.tobytes()))
+            t = [*_token_ids(ranks_path, texts[i] or ""), end_id]
+            n = len(t)
+            t = struct.pack(f"<{n}H", *t) + struct.pack("<H", end_id) * (-n % length)
+            for j in range(0, n, length):
+                held.append((ids[i], j // length, min(length, n - j), t[2 * j : 2 * (j + length)]))
                 if len(held) == HELD:
                     yield out(number)
                     number += len(held)
@@ -155,18 +192,16 @@ def _in_waves(df: DataFrame, ranks_path: str, end_id: int, length: int, slots_pe
 
     def to_slots(batches, wave):
         for b in batches:
-            for r in range(b.num_rows):
-                get = lambda c: b.column(c)[r]  # noqa: E731, B023
-                n = get(2).as_py()
-                numbers = first[get(0).as_py()] + get(1).as_py() + np.arange(n)
-                slots = feistel_slots(numbers, total, key)
-                tokens = get(6).as_buffer()
+            for r in range(0, b.num_rows, DEALT):
+                bucket, begin, n, doc_ids, seq_nos, n_tokens, tokens = b.slice(r, DEALT).columns
+                numbers = [first[k] + i + np.arange(m) for k, i, m in zip(bucket.to_pylist(), begin.to_pylist(), n.to_pylist())]
+                slots = feistel_slots(np.concatenate(numbers), total, key)
+                group = slots // per_group
+                mine = group % waves == wave
                 rows = pa.RecordBatch.from_arrays(
-                    [pa.array(slots), get(3).values, get(4).values, get(5).values, pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), n, [None, tokens])],
+                    [pa.array(slots), doc_ids.flatten(), seq_nos.flatten(), n_tokens.flatten(), pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), len(slots), [None, pa.py_buffer(flat(tokens)[0])])],
                     names=["slot", "doc_id", "seq_no", "n_tokens", "tokens"],
                 )
-                group = slots // per_group
-                mine = group % waves == wave
                 yield (group, rows) if mine.all() else (group[mine], rows.filter(pa.array(mine)))
 
     def in_order(group, tables):

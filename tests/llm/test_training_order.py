@@ -113,3 +113,18 @@ def test_hot_ids_and_long_texts(spark):
     got = sequences_in_training_order(spark.createDataFrame(data, "doc_id long, text string"), RANKS, length=64, slots_per_shard=50, key=3)
     want = brute(data, 64, 3)
     assert {g.slot: (g.doc_id, g.seq_no, g.n_tokens, np.frombuffer(g.tokens, "<u2").tolist()) for g in got.collect()} == want
+
+
+def test_token_ids_without_lookahead():
+    """The faster pattern is used, and gives the ids of whole texts whatever white space they hold."""
+    from tessella.llm.training_order import _RARE_LEADS, _WHITE, _token_ids, _without_lookahead
+
+    e, r = _tiktoken(RANKS), random.Random(14)
+    assert _without_lookahead(RANKS) is not None
+    assert all(x.encode().startswith(_RARE_LEADS) for x in map(chr, range(128, 0x3100)) if x.isspace())
+    white = "\t\n\x0b\x0c\r \x85\xa0        　"
+    some = [*white, *white, " ", " ", "  ", "\n\n", "\x1c", "\x1f", "​", "᠎", "﻿", "a", "The", "words", "é", "'s", "'", "n't", "12", ".", ",,", "中", "-", "\x00"]
+    for _ in range(20_000):
+        text = "".join(r.choices(some, k=r.randint(0, 9)))
+        assert _token_ids(RANKS, text) == e.encode_ordinary(text), repr(text)
+    assert _WHITE.startswith("\t-\r ")
